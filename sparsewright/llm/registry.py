@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from sparsewright.llm import decontaminate, line_dedup, piece_codec
+from sparsewright.llm import decontaminate, language_id, line_dedup, piece_codec, quality_classifier, toxicity
 from sparsewright.plans.session import shipped
 
 QUERIES = {
     "op2_piece_codec": piece_codec.op2_piece_codec,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_quality_classifier": quality_classifier.op6_quality_classifier,
+    "op7_language_id": language_id.op7_language_id,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 SQL = {
     "op3_line_dedup": line_dedup.OP3_SQL,
