@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sparsewright.llm import decontaminate, language_id, license_scan, line_dedup, piece_codec, quality_classifier, quality_rules, toxicity
+from sparsewright.llm import decontaminate, language_id, license_scan, line_dedup, ngram_join, piece_codec, quality_classifier, quality_rules, toxicity
 from sparsewright.plans.session import shipped
 
 QUERIES = {
     "op2_piece_codec": piece_codec.op2_piece_codec,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_quality_classifier": quality_classifier.op6_quality_classifier,
     "op7_language_id": language_id.op7_language_id,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 SQL = {
     "op3_line_dedup": line_dedup.OP3_SQL,
+    "op4_ngram_join": ngram_join.OP4_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op9_license_scan": license_scan.sql(),
 }
