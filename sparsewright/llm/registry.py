@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sparsewright.llm import decontaminate, language_id, license_scan, line_dedup, ngram_join, piece_codec, quality_classifier, quality_rules, toxicity
+from sparsewright.llm import decontaminate, language_id, license_scan, line_dedup, ngram_join, piece_codec, quality_classifier, quality_rules, suffix_dedup, toxicity
 from sparsewright.plans.session import shipped
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_piece_codec": piece_codec.op2_piece_codec,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_ngram_join": ngram_join.op4_ngram_join,
