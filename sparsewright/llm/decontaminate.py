@@ -309,6 +309,36 @@ def verdicts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select(*docs.columns, "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.size("item_ids") >= MIN_ITEMS).alias("contaminated"))
 
 
+def without_spans(found: DataFrame) -> DataFrame:
+    """Rows of ``find_spans`` with ``text`` less its hit spans, each from its first word's begin to its last word's end."""
+    at, begins, ends = (found.columns.index(c) for c in ("text", "begins", "ends"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for i in np.flatnonzero(np.diff(batch.column(begins).offsets.to_numpy()) > 0).tolist() if batch.num_rows else []:
+                raw = texts[i].encode()
+                held = Slice(pa.array([raw], pa.binary()))
+                begin, end, _ = held.words(ALNUM)
+                out, last = [], 0
+                for b, e in zip(batch.column(begins)[i].as_py(), batch.column(ends)[i].as_py(), strict=True):
+                    out.append(raw[last : begin[b]])
+                    last = end[e - 1]
+                texts[i] = b"".join([*out, raw[last:]]).decode()
+            columns = [pa.array(texts, batch.schema.field(at).type) if j == at else batch.column(j) for j in range(batch.num_columns)]
+            yield pa.record_batch(columns, batch.schema.names)
+
+    return found.mapInArrow(run, schema)
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: contaminated documents go; any other loses its hit spans."""
+    found = find_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter(F.size("item_ids") < MIN_ITEMS)
+    out = without_spans(found).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return verdicts(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text")

@@ -286,6 +286,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return LineStore.build(docs).rewrite(docs).select("doc_id", "n_lines", "n_dropped", sha256_text("text").alias("kept_sha256"))
 
 
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: lines found in too many documents go; the documents stay, if need be with an empty text."""
+    out = LineStore.build(docs).rewrite(docs).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 OP3_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
