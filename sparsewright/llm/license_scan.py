@@ -29,6 +29,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparsewright.llm.store import cut
+
 # Phrases and labels of the base scan.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -48,9 +50,11 @@ TEMPLATES = {
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Everything that is not in a word, but for the line feed (Java's notation).
-_GAP = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Everything that is not in a word (Java's notation).
+_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The two characters outside ASCII whose lower case has ASCII letters (Kelvin sign, dotted I).
+_FOLDED = ("K", "İ")
 
 
 def tokens(text: str) -> list[str]:
@@ -58,15 +62,16 @@ def tokens(text: str) -> list[str]:
     return _WORD.findall(text.translate(str.maketrans(_UPPER, _LOWER)))
 
 
-def normal(text: Column) -> Column:
-    """A-Z lower-cased, words apart by one space, lines kept."""
-    return F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _GAP, " ")
+def lowered(text: Column) -> Column:
+    """A-Z lower-cased. Letters outside ASCII may change too, but stay outside ASCII, so no word of a phrase or template appears or goes."""
+    text = F.coalesce(text, F.lit(""))
+    odd = F.contains(text, F.lit(_FOLDED[0])) | F.contains(text, F.lit(_FOLDED[1]))
+    return F.when(odd, F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
 
 
-def words_of(norm: Column) -> Column:
-    """Words of a normal text; an empty array for none."""
-    bare = F.regexp_replace(norm, r"^[ \n]+|[ \n]+$", "")
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[ \n]+"))
+def words_of(low: Column) -> Column:
+    """Words of a lower-cased text; an empty array for none."""
+    return F.array_remove(F.split(low, _GAP), "")
 
 
 def _strings(values) -> Column:
@@ -77,18 +82,23 @@ def need_of(size: int, threshold: tuple[int, int] = THRESHOLD) -> int:
     return math.ceil(threshold[0] * size / threshold[1])
 
 
-def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """Document frequency over the whole table of the templates' tokens; as many rows as the vocabulary has reach the driver."""
-    found = docs.select(F.explode(F.array_intersect(words_of(normal(F.col("text"))), _strings(vocabulary))).alias("token"))
-    return {r.token: r["count"] for r in found.groupBy("token").count().collect()}
+def vocabulary_of(sets: dict[str, list[str]]) -> list[str]:
+    return sorted({t for s in sets.values() for t in s})
+
+
+def token_sets(templates: dict[str, str]) -> dict[str, list[str]]:
+    return {label: sorted(set(tokens(t))) for label, t in sorted(templates.items()) if tokens(t)}
+
+
+def frequencies(seen: DataFrame) -> dict[str, int]:
+    """Document frequency over the whole table of the templates' tokens (column ``seen`` of ``base``); as many rows as the vocabulary has reach the driver."""
+    return {r.token: r["count"] for r in seen.select(F.explode("seen").alias("token")).groupBy("token").count().collect()}
 
 
-def matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+def matches(docs: DataFrame, often: dict[str, int], templates: dict[str, str] = TEMPLATES, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """(doc_id, text_key, line_no, label, containment) of every block and template that match."""
-    sets = {label: sorted(set(tokens(t))) for label, t in sorted(templates.items()) if tokens(t)}
-    vocabulary = sorted({t for s in sets.values() for t in s})
-    often = frequencies(docs, vocabulary)
-    order = sorted(vocabulary, key=lambda t: (often.get(t, 0), t))
+    sets = token_sets(templates)
+    order = sorted(vocabulary_of(sets), key=lambda t: (often.get(t, 0), t))
     place = {t: i for i, t in enumerate(order)}
     entries, prefixes = [], set()
     for label, s in sets.items():
@@ -99,19 +109,18 @@ def matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: t
             entries.append(F.struct(F.lit(token).alias("token"), F.lit(label).alias("label"), F.lit(p).alias("p"), F.lit(need).alias("need"), _strings(ranked).alias("template")))
     least = min(need_of(len(s), threshold) for s in sets.values())
     index = docs.sparkSession.range(1).select(F.inline(F.array(*entries)))
-    norm = docs.select("doc_id", F.xxhash64("text").alias("text_key"), normal(F.col("text")).alias("norm"))
+    low = docs.select("doc_id", F.xxhash64("text").alias("text_key"), lowered(F.col("text")).alias("low"))
     # a document without any prefix token has no matching block
-    some = norm.filter(F.arrays_overlap(words_of(F.col("norm")), _strings(sorted(prefixes))))
-    lines = some.select("doc_id", "text_key", F.posexplode(F.split("norm", "\n")).alias("line_no", "line"))
+    some = low.filter(F.arrays_overlap(words_of(F.col("low")), _strings(sorted(prefixes))))
+    lines = some.select("doc_id", "text_key", F.posexplode(F.split("low", "\n")).alias("line_no", "line"))
     # array_intersect keeps the first array's order: the block's tokens come out in the global order
     blocks = lines.select("doc_id", "text_key", "line_no", F.array_intersect(_strings(order), words_of(F.col("line"))).alias("block")).filter(F.size("block") >= least)
-    probes = blocks.select("*", F.posexplode(F.array_intersect("block", _strings(sorted(prefixes, key=place.get)))).alias("k", "token"))
+    probes = blocks.select("*", F.explode(F.array_intersect("block", _strings(sorted(prefixes, key=place.get)))).alias("token"))
     probes = probes.withColumn("q", F.array_position("block", F.col("token")) - 1)
     joined = probes.join(F.broadcast(index), "token")  # as many rows as the templates have prefix tokens
     left = F.lit(1) + F.least(F.size("template") - F.col("p") - 1, F.size("block") - F.col("q") - 1)
+    survivors = joined.filter((F.size("block") >= F.col("need")) & (left >= F.col("need"))).withColumn("common", F.array_intersect("template", "block"))
     # at the first common token alone: later ones would find the same pair again
-    common = F.array_intersect("template", "block")
-    survivors = joined.filter((F.size("block") >= F.col("need")) & (left >= F.col("need"))).withColumn("common", common)
     return survivors.filter((F.col("token") == F.element_at("common", 1)) & (F.size("common") >= F.col("need"))).select("doc_id", "text_key", "line_no", "label", (F.size("common") / F.size("template")).alias("containment"))
 
 
@@ -130,17 +139,18 @@ def _all(tests) -> Column:
     return out
 
 
-def base(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, n_words, n_base, first_word, last_word, base_set) by the phrases alone."""
+def base(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(doc_id, text_key, n_words, n_base, first_word, last_word, base_set) by the phrases alone, and ``seen``, the text's distinct words of the vocabulary."""
     none = F.array().cast("array<int>")
-    norm = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(normal(F.col("text"))).alias("words"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(lowered(F.col("text"))).alias("words"))
+    rows = rows.select("doc_id", "text_key", "words", F.array_intersect("words", _strings(sorted({*vocabulary, *" ".join(PHRASES).split()}))).alias("some"))
     for k, phrase in enumerate(PHRASES):
         # most documents lack the phrase's words and skip the scan for places
-        held = _all(F.array_contains("words", w) for w in phrase.split())
-        norm = norm.withColumn(f"at{k}", F.when(held, _starts(F.col("words"), phrase)).otherwise(none))
+        held = _all(F.array_contains("some", w) for w in phrase.split())
+        rows = rows.withColumn(f"at{k}", F.when(held, _starts(F.col("words"), phrase)).otherwise(none))
     every = F.concat(*(F.col(f"at{k}") for k in range(len(PHRASES))))
     labels = F.array_compact(F.array(*(F.when(F.size(f"at{k}") > 0, F.lit(label)) for k, label in enumerate(PHRASES.values()))))
-    return norm.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), labels.alias("base_set"))
+    return rows.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), labels.alias("base_set"), F.array_intersect("some", _strings(vocabulary)).alias("seen"))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -148,9 +158,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: tupl
 
     The score is 1 for a base phrase, else the largest containment of a match, else 0.
     """
-    per_doc = matches(docs, templates, threshold).groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    a = cut(base(docs, vocabulary_of(token_sets(templates))), "license-base")
+    per_doc = matches(docs, frequencies(a), templates, threshold).groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     per_doc = per_doc.withColumnsRenamed({"doc_id": "m_doc", "text_key": "m_key"})
-    a = base(docs)
     joined = a.join(per_doc, a["doc_id"].eqNullSafe(per_doc["m_doc"]) & (a["text_key"] == per_doc["m_key"]), "left")
     labels = F.array_sort(F.array_union("base_set", F.coalesce("more", F.array().cast("array<string>"))))
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))
