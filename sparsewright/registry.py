@@ -1,4 +1,11 @@
 """All queries of the library and their SQL counterparts."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from sparsewright.plans import matrix_queries
+from sparsewright.plans.session import shipped
+
+_PARTS = [matrix_queries]
+QUERIES: dict = {name: shipped(f) for part in _PARTS for name, f in part.QUERIES.items()}
+SQL: dict = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
+flagship = QUERIES["region_top_features"]
