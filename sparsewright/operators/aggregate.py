@@ -46,7 +46,7 @@ def dot_plot(m: Matrix, by: str, features: DataFrame) -> DataFrame:
     w = Window.partitionBy("feature")
     x = F.log1p("avg_exp")
     z = F.try_divide(x - F.avg(x).over(w), F.stddev_samp(x).over(w))
-    return rows.withColumn("avg_scaled", F.greatest(F.lit(-2.5), F.least(F.lit(2.5), z)))
+    return rows.withColumn("avg_scaled", F.when(z.isNotNull(), F.greatest(F.lit(-2.5), F.least(F.lit(2.5), z))))
 
 
 def mean_bins(m: Matrix, bins: int = 24) -> DataFrame:

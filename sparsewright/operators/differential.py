@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from sparsewright.functions import distributions as dist
 from sparsewright.matrix import Matrix
@@ -76,7 +77,7 @@ def wilcoxon(m: Matrix, groups: DataFrame) -> DataFrame:
     return rows.select("feature", "u", "z", normal_tail(F.col("z")).alias("p_val"), F.round(F.col("u") / float(n1 * n2), 3).alias("auc"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _normal_tail(z: pd.Series) -> pd.Series:
     return pd.Series(np.where(z.isna(), 1.0, dist.normal_sf2(z.fillna(0.0).to_numpy())))
 
@@ -122,12 +123,12 @@ def welch_t(m: Matrix, groups: DataFrame) -> DataFrame:
     return rows.select("feature", t.alias("t"), df.alias("df")).withColumn("p_val", _t_tail("t", "df"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([dist.t_sf2(a, b) if a == a and b == b else 1.0 for a, b in zip(t, df, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([dist.chi2_sf(a, b) if a == a else 1.0 for a, b in zip(x, df, strict=True)])
 

@@ -149,13 +149,13 @@ def _brand(m: Matrix) -> DataFrame:
     return m.features.filter("brand = 'Brand#13'").select("feature")
 
 
-@query("scale_data", _CHOSEN + _MOM + " SELECT feature, cell, round(coalesce(CASE WHEN v > 0 THEN least(10, (value - mu) / sqrt(v)) END, 0), 6) + 0 AS value FROM dense JOIN mom USING (feature) WHERE feature IN (SELECT feature FROM ch)")
+@query("scale_data", _CHOSEN + _MOM + " SELECT feature, cell, round(coalesce(CASE WHEN v > 1e-9 THEN least(10, (value - mu) / sqrt(v)) END, 0), 6) + 0 AS value FROM dense JOIN mom USING (feature) WHERE feature IN (SELECT feature FROM ch)")
 def _(spark, sf_dir):
     m = sales_matrix(spark, sf_dir)
     return rounded(scaling.scale_data(m, _brand(m)))
 
 
-@query("scale_data_split", _CHOSEN + ", g AS (SELECT feature, ident, avg(value) AS mu, var_samp(value) AS v FROM dense JOIN c USING (cell) WHERE ident IS NOT NULL GROUP BY 1, 2) SELECT feature, cell, round(coalesce(CASE WHEN v > 0 THEN least(10, (value - mu) / sqrt(v)) END, 0), 6) + 0 AS value FROM dense JOIN c USING (cell) JOIN g USING (feature, ident) WHERE feature IN (SELECT feature FROM ch)")
+@query("scale_data_split", _CHOSEN + ", g AS (SELECT feature, ident, avg(value) AS mu, var_samp(value) AS v FROM dense JOIN c USING (cell) WHERE ident IS NOT NULL GROUP BY 1, 2) SELECT feature, cell, round(coalesce(CASE WHEN v > 1e-9 THEN least(10, (value - mu) / sqrt(v)) END, 0), 6) + 0 AS value FROM dense JOIN c USING (cell) JOIN g USING (feature, ident) WHERE feature IN (SELECT feature FROM ch)")
 def _(spark, sf_dir):
     m = sales_matrix(spark, sf_dir)
     return rounded(scaling.scale_data_by(m.select_features(_brand(m)), "ident"))
@@ -186,7 +186,7 @@ def _(spark, sf_dir):
 
 @query("dot_plot_table", _CHOSEN + """, a AS (SELECT feature, ident AS grp, avg(exp(value) - 1) AS avg_exp, 100.0 * avg(CASE WHEN value > 0 THEN 1.0 ELSE 0 END) AS pct_exp FROM ddense JOIN c USING (cell) WHERE ident IS NOT NULL AND feature IN (SELECT feature FROM ch) GROUP BY 1, 2),
 z AS (SELECT *, avg(ln(1 + avg_exp)) OVER w AS mu, stddev_samp(ln(1 + avg_exp)) OVER w AS sd FROM a WINDOW w AS (PARTITION BY feature))
-SELECT feature, grp, round(avg_exp, 6) AS avg_exp, round(pct_exp, 6) AS pct_exp, round(greatest(-2.5, least(2.5, CASE WHEN sd > 0 THEN (ln(1 + avg_exp) - mu) / sd END)), 6) + 0 AS avg_scaled FROM z""")
+SELECT feature, grp, round(avg_exp, 6) AS avg_exp, round(pct_exp, 6) AS pct_exp, round(CASE WHEN sd > 0 THEN greatest(-2.5, least(2.5, (ln(1 + avg_exp) - mu) / sd)) END, 6) + 0 AS avg_scaled FROM z""")
 def _(spark, sf_dir):
     m = data(spark, sf_dir)
     return rounded(aggregate.dot_plot(m, "ident", _brand(m)))
