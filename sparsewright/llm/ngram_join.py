@@ -54,6 +54,8 @@ BUCKET_KEYS = 1_500_000
 BLOCK = 512
 #: A shingle is frequent if this share of the documents of a task holds it. It changes the order of keys, never a link.
 FREQUENT = 0.01
+#: Smallest open keys of a class that tell which of its shared keys lists a pair.
+OWN_KEYS = 32
 MAX_FREQUENT = 400_000
 _EMPTY = U64(0xA5A5A5A5DEADBEEF)
 
@@ -279,19 +281,28 @@ def _verify(batches):
 
 
 def _blocks(batches):
-    """Rows (key, i, j, ent, comp, n, sketch) sorted by (key, i, j): near pairs of different components, group by group."""
+    """Rows (key, i, j, ent, comp, n, sketch, low) sorted by (key, i, j): near pairs of different components, group by group.
+
+    A pair that shares several keys is listed by the least of them, as far as
+    ``low``, the classes' least keys, tells; never by none.
+    """
 
     def pairs(g: pa.Table):
         ent, comp, n = (g.column(c).to_numpy() for c in ("ent", "comp", "n"))
         sk = g.column("sketch").to_pylist()
         size = min(map(len, sk))
         rows = np.concatenate([fold(np.frombuffer(x, dtype=np.uint8)[None], size) for x in sk])
+        key = g.column("key")[0].as_py()
+        low = np.full((len(ent), OWN_KEYS), key, dtype=np.int64)
+        for r, x in enumerate(g.column("low").to_pylist()):
+            low[r, : len(x)] = x
         found_a, found_b = [], []
         for i in range(len(ent) - 1):
             m = n[i + 1 :]
             ok = np.flatnonzero((comp[i + 1 :] != comp[i]) & (n[i] * DENOMINATOR >= m * NUMERATOR) & (m * DENOMINATOR >= n[i] * NUMERATOR))
             if len(ok):
                 ok = ok[hamming(rows[i + 1 + ok], rows[i]) <= largest_difference(n[i], m[ok])] + i + 1
+                ok = ok[~np.isin(low[ok], low[i][low[i] < key]).any(axis=1)]
                 found_a += [np.minimum(ent[i], ent[ok])]
                 found_b += [np.maximum(ent[i], ent[ok])]
         if found_a:
@@ -364,11 +375,13 @@ class NgramJoin:
         members = members.join(roots.withColumnsRenamed({"node": "ent", "root": "comp"}), "ent", "left").withColumn("comp", F.coalesce("comp", "ent"))
         members = cut(members, "join-members")
         open_ = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo != hi").select("key", "size")
-        held = members.join(open_, "key").join(self.classes.select("ent", "n", "sketch"), "ent")
+        held = cut(members.join(open_, "key"), "join-open-members")
+        low = held.groupBy("ent").agg(F.slice(F.array_sort(F.collect_set("key")), 1, OWN_KEYS).alias("low"))
+        held = held.join(self.classes.select("ent", "n", "sketch").join(low, "ent"), "ent")
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         mine = F.pmod(F.xxhash64("ent", "key"), blocks).cast("int")
-        dealt = held.select("key", mine.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"), "ent", "comp", "n", "sketch")
-        dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "ent", "comp", "n", "sketch")
+        dealt = held.select("key", mine.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"), "ent", "comp", "n", "sketch", "low")
+        dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "ent", "comp", "n", "sketch", "low")
         return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocks, "a long, b long").distinct()
 
     def roots(self) -> DataFrame:
@@ -386,9 +399,11 @@ class NgramJoin:
     def components(self) -> DataFrame:
         """(doc_id, n_shingles, component_id), a row a document."""
         roots = self.roots().withColumnsRenamed({"node": "ent"})
-        rows = self.rows.join(roots, "ent", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "ent")).alias("comp"))
-        least = rows.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-        return rows.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        # by classes first: of a hot class one row meets the component's other classes
+        tied = self.classes.join(roots, "ent", "left").select("ent", "doc_id", F.coalesce("root", "ent").alias("comp"))
+        least = tied.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+        by_class = cut(tied.join(least, "comp").select("ent", "component_id"), "join-components")
+        return self.rows.join(by_class, "ent", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _own(batches):
