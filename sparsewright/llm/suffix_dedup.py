@@ -54,7 +54,9 @@ GRAM = 200
 SPAN = LENGTH - GRAM + 1
 #: Columns of a context: SPAN - 1 bytes before the anchor and LENGTH from it on.
 WIDTH = SPAN - 1 + LENGTH
-SHARD_CONTEXTS = 4000
+SHARD_CONTEXTS = 40_000
+#: Contexts that a shard of many strings is sized for.
+COMMON_SHARD = 3000
 #: Neighbouring windows that are grouped by their common string in the second turn.
 STEP = 25
 _PAD = 256
@@ -95,6 +97,7 @@ def row_key(text: bytes, doc_id) -> int:
 
 
 def _anchor_rows(batches):
+    """(gram, rid, place, more): a row for each anchor string of a slice; ``more`` packs its further (rid, place) pairs, so a string that fills a slice is one row."""
     for batch in batches:
         for part in slices(batch):
             texts = texts_of(part.column(1))
@@ -102,7 +105,30 @@ def _anchor_rows(batches):
             place, h = anchors(held)
             doc = np.searchsorted(held.at, place, side="right") - 1
             rid = np.array([row_key(t.as_py(), i.as_py()) for t, i in zip(texts, part.column(0), strict=True)], dtype=np.int64)
-            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(rid[doc]), pa.array(place - held.at[doc])], ["gram", "rid", "place"])
+            order = np.argsort(h, kind="stable")
+            h, pairs = h[order], np.column_stack([rid[doc], place - held.at[doc]])[order]
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+            last = np.append(first[1:], len(h))
+            more = [None if e - b == 1 else pairs[b + 1 : e].tobytes() for b, e in zip(first.tolist(), last.tolist(), strict=True)]
+            yield pa.record_batch([pa.array(h[first].view(np.int64)), pa.array(np.ascontiguousarray(pairs[first, 0])), pa.array(np.ascontiguousarray(pairs[first, 1])), pa.array(more, pa.binary())], ["gram", "rid", "place", "more"])
+
+
+def _unpacked(batches):
+    """(gram, rid, place) of all of ``_anchor_rows``; of a row's places with one string, a list."""
+    for batch in batches:
+        gram, rid, place = (batch.column(i).to_numpy() for i in range(3))
+        pairs = [np.column_stack([rid, place])]
+        grams = [gram]
+        for i in np.flatnonzero(batch.column(3).is_valid().to_numpy(zero_copy_only=False)).tolist():
+            x = np.frombuffer(batch.column(3)[i].as_py(), dtype=np.int64).reshape(-1, 2)
+            pairs.append(x)
+            grams.append(np.full(len(x), gram[i]))
+        grams, pairs = np.concatenate(grams), np.concatenate(pairs)
+        order = np.lexsort((pairs[:, 0], grams))
+        grams, pairs = grams[order], pairs[order]
+        first = np.flatnonzero(np.append(True, (grams[1:] != grams[:-1]) | (pairs[1:, 0] != pairs[:-1, 0]))[: len(grams)])
+        last = np.append(first[1:], len(grams))
+        yield pa.record_batch([pa.array(grams[first]), pa.array(np.ascontiguousarray(pairs[first, 0])), pa.array([pairs[b:e, 1].tobytes() for b, e in zip(first.tolist(), last.tolist(), strict=True)], pa.binary())], ["gram", "rid", "places"])
 
 
 def _packed_rows(batches):
@@ -115,41 +141,43 @@ def _packed_rows(batches):
 
 
 def _context_rows(batches):
-    """Of (rid, packed, grams and places): distinct contexts with counts, and every place's context."""
+    """Of (rid, packed, grams and places): distinct contexts with counts, and every row's places of each context."""
     unpack = zstandard.ZstdDecompressor().decompress
     held: dict[bytes, list] = {}
     size = 0
+    names = ["ctx", "gram", "bytes", "before", "n", "rid", "places"]
 
     def flush():
         rows = list(held.items())
         held.clear()
         n = len(rows)
-        return pa.record_batch([pa.array([k for k, _ in rows], pa.binary()), pa.array([v[0] for _, v in rows], pa.int64()), pa.array([v[1] for _, v in rows], pa.binary()), pa.array([v[2] for _, v in rows], pa.int32()), pa.array([v[3] for _, v in rows], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], ["ctx", "gram", "bytes", "before", "n", "rid", "place"])
+        return pa.record_batch([pa.array([k for k, _ in rows], pa.binary()), pa.array([v[0] for _, v in rows], pa.int64()), pa.array([v[1] for _, v in rows], pa.binary()), pa.array([v[2] for _, v in rows], pa.int32()), pa.array([v[3] for _, v in rows], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
 
     for batch in batches:
         ctxs, rids, places = [], [], []
         for rid, packed, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
             text = unpack(packed.as_py())
+            own: dict[bytes, list] = {}
             for one in found.as_py():
-                at = one["place"]
-                low = max(0, at - SPAN + 1)
-                piece = text[low : at + LENGTH]
-                before = at - low
-                ctx = xxhash.xxh3_128_digest(piece, seed=before)
-                if ctx in held:
+                for at in np.unique(np.frombuffer(one["places"], dtype=np.int64)).tolist():
+                    low = max(0, at - SPAN + 1)
+                    piece = text[low : at + LENGTH]
+                    before = at - low
+                    ctx = xxhash.xxh3_128_digest(piece, seed=before)
+                    if ctx not in held:
+                        held[ctx] = [one["gram"], piece, before, 0]
+                        size += len(piece)
                     held[ctx][3] += 1
-                else:
-                    held[ctx] = [one["gram"], piece, before, 1]
-                    size += len(piece)
-                ctxs.append(ctx)
-                rids.append(rid)
-                places.append(at)
+                    own.setdefault(ctx, []).append(at)
+            ctxs += own
+            rids += [rid] * len(own)
+            places += [np.array(x, dtype=np.int64).tobytes() for x in own.values()]
             if size > 24 << 20:
                 yield flush()
                 size = 0
         n = len(ctxs)
         if n:
-            yield pa.record_batch([pa.array(ctxs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(rids, pa.int64()), pa.array(places, pa.int64())], ["ctx", "gram", "bytes", "before", "n", "rid", "place"])
+            yield pa.record_batch([pa.array(ctxs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(rids, pa.int64()), pa.array(places, pa.binary())], names)
     if held:
         yield flush()
 
@@ -273,18 +301,19 @@ def _core_shard(table: pa.Table) -> pa.Table:
 
 
 def repeated_windows(docs: DataFrame, shard_contexts: int = SHARD_CONTEXTS) -> tuple[DataFrame, DataFrame]:
-    """(places, found): (ctx, rid, place) of the anchors, and (ctx, found) bits of the windows that are repeated."""
+    """(places, found): (ctx, rid, places) of the anchors, and (ctx, found) bits of the windows that are repeated."""
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    every = cut(docs.mapInArrow(_anchor_rows, "gram long, rid long, place long"), "anchors")
-    often = every.groupBy("gram").count().filter("count >= 2").select("gram")
-    per_row = every.join(often, "gram").groupBy("rid").agg(F.collect_set(F.struct("gram", "place")).alias("found"))
+    every = cut(docs.mapInArrow(_anchor_rows, "gram long, rid long, place long, more binary"), "anchors")
+    often = every.groupBy("gram").agg(F.sum(F.lit(1) + F.coalesce(F.length("more") / 16, F.lit(0))).alias("n")).filter("n >= 2").select("gram")
+    found = every.join(often, "gram").mapInArrow(_unpacked, "gram long, rid long, places binary")
+    per_row = found.groupBy("rid").agg(F.collect_list(F.struct("gram", "places")).alias("found"))
     packed = docs.mapInArrow(_packed_rows, f"doc_id {kind}, rid long, packed binary").select("rid", "packed")
-    rows = cut(packed.join(per_row, "rid").select("rid", "packed", "found").mapInArrow(_context_rows, "ctx binary, gram long, bytes binary, before int, n long, rid long, place long"), "contexts")
-    contexts, places = rows.filter(F.col("bytes").isNotNull()).drop("rid", "place"), rows.filter(F.col("bytes").isNull()).select("ctx", "rid", "place")
+    rows = cut(packed.join(per_row, "rid").select("rid", "packed", "found").mapInArrow(_context_rows, "ctx binary, gram long, bytes binary, before int, n long, rid long, places binary"), "contexts")
+    contexts, places = rows.filter(F.col("bytes").isNotNull()).drop("rid", "places"), rows.filter(F.col("bytes").isNull()).select("ctx", "rid", "places")
     sizes = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("m"))
     total = contexts.count()
-    shards = max(8, total // (shard_contexts // 2))
+    shards = max(8, total // min(COMMON_SHARD, shard_contexts))
     hot = sizes.filter(F.col("m") > shard_contexts)
     salted = contexts.join(hot, "gram", "left").withColumn("salts", F.coalesce(F.ceil(F.col("m") / shard_contexts), F.lit(1)).cast("int"))
     salt = F.pmod(F.xxhash64("ctx"), F.col("salts")).cast("int")
@@ -297,25 +326,26 @@ def repeated_windows(docs: DataFrame, shard_contexts: int = SHARD_CONTEXTS) -> t
     rest = dealt.filter("salts > 1").select("ctx", "bytes", "before").join(found.select("ctx", "single"), "ctx").dropDuplicates(["ctx"])
     cores = cut(rest.select("ctx", "bytes", "before", "single").mapInArrow(_core_rows, "ctx binary, core binary, bytes binary, offset int"), "cores")
     twice = cores.groupBy("core").count().filter("count >= 2").select("core")
-    buckets = max(8, total // (shard_contexts // 2))
+    buckets = shards
     met = cores.join(twice, "core").withColumn("bucket", F.pmod(F.xxhash64("core"), F.lit(buckets)))
     more = cut(met.groupBy("bucket").applyInArrow(_core_shard, "ctx binary, found binary"), "windows")
     return places, found.select("ctx", "found").unionAll(more)
 
 
 def _finish(batches):
-    """Of (doc_id, packed, marks): the digest columns and the kept spans."""
+    """Of (doc_id, packed, marks): the digest columns and the removed spans."""
     unpack = zstandard.ZstdDecompressor().decompress
+    none = np.zeros(0, dtype=np.int64)
     for batch in batches:
         out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "begins", "ends")}
         for packed, marks in zip(batch.column(1), batch.column(2), strict=True):
             text = unpack(packed.as_py())
-            begin, end = removed_spans(len(text), marks.as_py() or [])
-            kept, last = hashlib.sha256(), 0
-            for b, e in zip(begin, end, strict=True):
-                kept.update(text[last:b])
+            begin, end = removed_spans(len(text), marks.as_py()) if marks.is_valid else (none, none)
+            kept, last, view = hashlib.sha256(), 0, memoryview(text)
+            for b, e in zip(begin.tolist(), end.tolist(), strict=True):
+                kept.update(view[last:b])
                 last = e
-            kept.update(text[last:])
+            kept.update(view[last:])
             out["n_bytes"].append(len(text))
             out["n_removed"].append(int((end - begin).sum()))
             out["n_spans"].append(len(begin))
@@ -326,17 +356,15 @@ def _finish(batches):
 
 
 def removed_spans(size: int, marks: list) -> tuple[np.ndarray, np.ndarray]:
-    """(begin, end) of the maximal removed runs of a text; marks: (place, bits) of its anchors."""
-    cover = np.zeros(size + 1, dtype=np.int64)
-    for one in marks:
-        start = one["place"] - (SPAN - 1) + np.flatnonzero(np.unpackbits(np.frombuffer(one["found"], dtype=np.uint8))[:SPAN])
-        start = start[(start >= 0) & (start + LENGTH <= size)]
-        np.add.at(cover, start, 1)
-        np.add.at(cover, start + LENGTH, -1)
-    gone = np.zeros(size + 2, dtype=np.int8)
-    gone[1:-1] = np.cumsum(cover)[:size] > 0
-    edge = np.diff(gone)
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    """(begin, end) of the maximal removed runs of a text; marks: (places, bits) of its contexts."""
+    starts = [(np.frombuffer(m["places"], dtype=np.int64)[:, None] + np.flatnonzero(np.unpackbits(np.frombuffer(m["found"], dtype=np.uint8))[:SPAN]) - (SPAN - 1)).ravel() for m in marks]
+    start = np.concatenate(starts)
+    start = np.unique(start[(start >= 0) & (start + LENGTH <= size)])
+    if not len(start):
+        return start, start
+    # windows that touch or overlap are one run
+    apart = np.flatnonzero(np.diff(start) > LENGTH)
+    return start[np.append(0, apart + 1)], start[np.append(apart, len(start) - 1)] + LENGTH
 
 
 def removals(docs: DataFrame, shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
@@ -345,7 +373,7 @@ def removals(docs: DataFrame, shard_contexts: int = SHARD_CONTEXTS) -> DataFrame
     kind = docs.schema["doc_id"].dataType.simpleString()
     places, found = repeated_windows(docs, shard_contexts)
     empty = F.lit(bytes(-(-SPAN // 8)))
-    marks = places.join(found.filter(F.col("found") != empty), "ctx").groupBy("rid").agg(F.collect_set(F.struct("place", "found")).alias("marks"))
+    marks = places.join(found.filter(F.col("found") != empty), "ctx").groupBy("rid").agg(F.collect_list(F.struct("places", "found")).alias("marks"))
     packed = docs.mapInArrow(_packed_rows, f"doc_id {kind}, rid long, packed binary")
     return packed.join(marks, "rid", "left").select("doc_id", "packed", "marks").mapInArrow(_finish, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, begins array<long>, ends array<long>")
 
