@@ -17,7 +17,7 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package once per application, whatever their PYTHONPATH holds."""
+    """Give executors this package once per application, whatever their PYTHONPATH holds, and bound Arrow batches."""
     sc: SparkContext = spark.sparkContext
     if sc.applicationId in _shipped:
         return
@@ -31,6 +31,9 @@ def ship(spark: SparkSession) -> None:
                         full = os.path.join(folder, name)
                         z.write(full, os.path.relpath(full, os.path.dirname(top)))
         sc.addPyFile(path)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        # rows can be long texts: Spark's default count would make large batches
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     _shipped.add(sc.applicationId)
 
 
