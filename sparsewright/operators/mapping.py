@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparsewright.operators.neighbors import knn
+from sparsewright.plans.scratch import cut
 
 
 def four_way(a: DataFrame, b: DataFrame, k: int) -> dict[str, DataFrame]:
@@ -118,11 +119,11 @@ def integrate(datasets: dict[str, DataFrame], k_anchor: int = 5, k_score: int =
         a, b = max(((x, y) for i, x in enumerate(keys) for y in keys[i + 1 :]), key=lambda p: linkage(*p))
         if sizes[b] > sizes[a]:
             a, b = b, a
-        # kept: the next merge reads them many times over
-        anchors = find_anchors(sets[a], sets[b], k_anchor, k_score).persist()
-        weights = anchor_weights(anchors, sets[b], k_weight).persist()
+        # written out: the next merge reads them many times over
+        anchors = cut(find_anchors(sets[a], sets[b], k_anchor, k_score), "anchors")
+        weights = cut(anchor_weights(anchors, sets[b], k_weight), "weights")
         fixed = vector_form(correct(weights, long_form(sets[a]), long_form(sets[b])))
-        sets[a] = sets[a].select("cell", "vector").unionByName(fixed).persist()
+        sets[a] = cut(sets[a].select("cell", "vector").unionByName(fixed), "integrated")
         sizes[a] += sizes[b]
         group[a] += group.pop(b)
         del sets[b]
