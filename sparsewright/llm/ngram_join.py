@@ -49,11 +49,13 @@ WORDS = 5
 #: Jaccard threshold, as a fraction.
 NUMERATOR, DENOMINATOR = 80, 100
 #: Keys a reduce bucket is sized for.
-BUCKET_KEYS = 1_500_000
+BUCKET_KEYS = 500_000
 #: Members of a key that are compared at a time.
 BLOCK = 512
 #: A shingle is frequent if this share of the documents of a task holds it. It changes the order of keys, never a link.
 FREQUENT = 0.01
+#: Bytes of text whose frequent shingles, or keys, are gathered at a time.
+WIDE = 4 << 20
 #: Smallest open keys of a class that tell which of its shared keys lists a pair.
 OWN_KEYS = 32
 MAX_FREQUENT = 400_000
@@ -157,8 +159,8 @@ def _summaries(at_id: int, at_text: int):
         total = 0
         kind = None
         for batch in batches:
-            for part in slices(batch):
-                sets = shingle_sets(texts_of(part.column(at_text)))
+            for part in slices(batch, WIDE):
+                sets = [s for small in slices(part) for s in shingle_sets(texts_of(small.column(at_text)))]
                 kind = part.column(at_id).type
                 total += len(sets)
                 if len(sets) >= 16:
@@ -194,7 +196,7 @@ def _key_rows(held, buckets: int):
     def run(batches):
         frequent = held.value
         for batch in batches:
-            for part in slices(batch, 8 << 20):
+            for part in slices(batch, WIDE):
                 of_slice: dict[int, np.ndarray] = {}
                 for small in slices(part):
                     for s in shingle_sets(texts_of(small.column(0))):

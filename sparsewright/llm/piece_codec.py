@@ -32,7 +32,7 @@ from sparsewright.llm.vec import slices, texts_of
 
 SPACE_MARK = "▁".encode()
 #: Texts handed to the library at once, in bytes.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 2 << 20
+SLICE = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 U64 = np.uint64
 
@@ -59,7 +59,7 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2**64, n of each at least."""
-    return _powers(max(22, int(n + 1).bit_length()))
+    return _powers(max(18, int(n + 1).bit_length()))
 
 
 def prefix_hash(buf: np.ndarray) -> np.ndarray:
