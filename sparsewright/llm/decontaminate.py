@@ -267,27 +267,44 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple]]:
         yield block
 
 
-def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with n_words, begins, ends (hit word spans, in order, disjoint) and item_ids (as text, sorted)."""
+def cut_words(text: str, begins: list, ends: list) -> str:
+    """The text less the spans of words, each from its first word's begin to its last word's end."""
+    raw = text.encode()
+    begin, end, _ = Slice(pa.array([raw], pa.binary())).words(ALNUM)
+    out, last = [], 0
+    for b, e in zip(begins, ends, strict=True):
+        out.append(raw[last : begin[b]])
+        last = end[e - 1]
+    return b"".join([*out, raw[last:]]).decode()
+
+
+def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, cut: bool = False) -> DataFrame:
+    """``docs`` with n_words, begins, ends (hit word spans, in order, disjoint) and item_ids (as text, sorted). With ``cut``, the text is left without the spans."""
     spark = docs.sparkSession
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     at = docs.columns.index("text")
 
-    def search(block: list[tuple]) -> DataFrame:
+    def search(block: list[tuple], cut: bool = False) -> DataFrame:
         held = spark.sparkContext.broadcast(Windows.of(block, window))
 
         def run(batches):
             for batch in batches:
-                for part in slices(batch, 8 << 20):
+                for part in slices(batch):
                     n, begins, ends, items = shard_hits(texts_of(part.column(at)), held.value)
                     names = [sorted({str(held.value.items[i]) for i in x}) for x in items]
-                    yield pa.record_batch([*part.columns, pa.array(n, pa.int64()), pa.array(begins, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], [*part.schema.names, "n_words", "begins", "ends", "item_ids"])
+                    columns = list(part.columns)
+                    if cut and any(begins):
+                        texts = [cut_words(t, b, e) if b else t for t, b, e in zip(columns[at].to_pylist(), begins, ends, strict=True)]
+                        columns[at] = pa.array(texts, part.schema.field(at).type)
+                    yield pa.record_batch([*columns, pa.array(n, pa.int64()), pa.array(begins, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], [*part.schema.names, "n_words", "begins", "ends", "item_ids"])
 
         return docs.mapInArrow(run, f"{kept}, n_words long, begins array<long>, ends array<long>, item_ids array<string>")
 
-    passes = [search(b) for b in _blocks(benchmark, block_words)] or [search([])]
-    if len(passes) == 1:
-        return passes[0]
+    blocks = _blocks(benchmark, block_words)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return search(first, cut)
+    passes = [search(b) for b in (first, second)] + [search(b) for b in blocks]
     more = passes[0]
     for p in passes[1:]:
         more = more.unionByName(p)
@@ -299,7 +316,8 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
     )
     firsts = [F.first(f"`{c}`").alias(c) for c in [*docs.columns, "n_words"] if c != "doc_id"]
     by_doc = more.groupBy("doc_id").agg(*firsts, spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids")).withColumn("spans", merged)
-    return by_doc.select(*docs.columns, "n_words", F.col("spans")["begins"].alias("begins"), F.col("spans")["ends"].alias("ends"), "item_ids")
+    merged = by_doc.select(*docs.columns, "n_words", F.col("spans")["begins"].alias("begins"), F.col("spans")["ends"].alias("ends"), "item_ids")
+    return without_spans(merged) if cut else merged
 
 
 def verdicts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -310,22 +328,13 @@ def verdicts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_spans(found: DataFrame) -> DataFrame:
-    """Rows of ``find_spans`` with ``text`` less its hit spans, each from its first word's begin to its last word's end."""
+    """Rows of ``find_spans`` with ``text`` less its hit spans."""
     at, begins, ends = (found.columns.index(c) for c in ("text", "begins", "ends"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields)
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for i in np.flatnonzero(np.diff(batch.column(begins).offsets.to_numpy()) > 0).tolist() if batch.num_rows else []:
-                raw = texts[i].encode()
-                held = Slice(pa.array([raw], pa.binary()))
-                begin, end, _ = held.words(ALNUM)
-                out, last = [], 0
-                for b, e in zip(batch.column(begins)[i].as_py(), batch.column(ends)[i].as_py(), strict=True):
-                    out.append(raw[last : begin[b]])
-                    last = end[e - 1]
-                texts[i] = b"".join([*out, raw[last:]]).decode()
+            texts = [cut_words(t, b, e) if b else t for t, b, e in zip(*(batch.column(j).to_pylist() for j in (at, begins, ends)), strict=True)]
             columns = [pa.array(texts, batch.schema.field(at).type) if j == at else batch.column(j) for j in range(batch.num_columns)]
             yield pa.record_batch(columns, batch.schema.names)
 
@@ -334,8 +343,8 @@ def without_spans(found: DataFrame) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: contaminated documents go; any other loses its hit spans."""
-    found = find_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter(F.size("item_ids") < MIN_ITEMS)
-    out = without_spans(found).select(*docs.columns)
+    found = find_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), cut=True)
+    out = found.filter(F.size("item_ids") < MIN_ITEMS).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
