@@ -24,8 +24,8 @@ windows have equal anchor strings, at equal places in the window. So
    or if its context occurs twice.
 
 A string's contexts are one shard up to ``SHARD_CONTEXTS``. Beyond, they are
-salted; the windows found single in their salted shard are grouped once more by
-the string common to ``STEP`` neighbouring windows, where the salts meet.
+salted; of equal windows in a salted shard one leads, and the leading windows
+of all salts meet by their hashes.
 
 Cases: a null text is empty; texts shorter than ``LENGTH`` bytes lose nothing;
 repeated rows repeat each other's windows; ids may be null or shared; an empty
@@ -57,8 +57,6 @@ WIDTH = SPAN - 1 + LENGTH
 SHARD_CONTEXTS = 40_000
 #: Contexts that a shard of many strings is sized for.
 COMMON_SHARD = 3000
-#: Neighbouring windows that are grouped by their common string in the second turn.
-STEP = 25
 _PAD = 256
 _PLACE_BITS = 24
 
@@ -108,7 +106,7 @@ def _anchor_rows(batches):
             order = np.argsort(h, kind="stable")
             h, pairs = h[order], np.column_stack([rid[doc], place - held.at[doc]])[order]
             first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
-            last = np.append(first[1:], len(h))
+            last = np.append(first[1:], len(h))[: len(first)]
             more = [None if e - b == 1 else pairs[b + 1 : e].tobytes() for b, e in zip(first.tolist(), last.tolist(), strict=True)]
             yield pa.record_batch([pa.array(h[first].view(np.int64)), pa.array(np.ascontiguousarray(pairs[first, 0])), pa.array(np.ascontiguousarray(pairs[first, 1])), pa.array(more, pa.binary())], ["gram", "rid", "place", "more"])
 
@@ -127,7 +125,7 @@ def _unpacked(batches):
         order = np.lexsort((pairs[:, 0], grams))
         grams, pairs = grams[order], pairs[order]
         first = np.flatnonzero(np.append(True, (grams[1:] != grams[:-1]) | (pairs[1:, 0] != pairs[:-1, 0]))[: len(grams)])
-        last = np.append(first[1:], len(grams))
+        last = np.append(first[1:], len(grams))[: len(first)]
         yield pa.record_batch([pa.array(grams[first]), pa.array(np.ascontiguousarray(pairs[first, 0])), pa.array([pairs[b:e, 1].tobytes() for b, e in zip(first.tolist(), last.tolist(), strict=True)], pa.binary())], ["gram", "rid", "places"])
 
 
@@ -219,10 +217,10 @@ class Rounds:
             out[mine] = np.minimum(t[low[mine]], t[high[mine] - (1 << k) + 1])
         return out
 
-    def repeated(self, first: int, length: int) -> np.ndarray:
-        """(contexts x first columns) bool: the suffix shares ``length`` symbols with another. Inserts all columns, then reads the files in sequence."""
+    def repeated(self, first: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Two (contexts x first columns) tables: the suffix shares ``length`` symbols with another; it is the first of those that do. Inserts all columns, then reads the files in sequence."""
         m, width = len(self.order), len(self.columns)
-        out = np.zeros((m, first), dtype=bool)
+        out, lead = np.zeros((m, first), dtype=bool), np.zeros((m, first), dtype=bool)
         for column in range(width - 1, -1, -1):
             self.insert(column)
         for f in self.files.values():
@@ -233,9 +231,10 @@ class Rounds:
             if column < first:
                 long = common >= length
                 out[order, column] = long | np.append(long[1:], False)
+                lead[order, column] = ~long
         for f in self.files.values():
             f.close()
-        return out
+        return out, lead
 
 
 def _matrix(pieces: list[bytes], before: np.ndarray, ahead: int, width: int) -> np.ndarray:
@@ -247,7 +246,7 @@ def _matrix(pieces: list[bytes], before: np.ndarray, ahead: int, width: int) ->
 
 
 def _shard(table: pa.Table) -> pa.Table:
-    """Of a shard's contexts: which of their windows are repeated, as bits over columns; ``single`` bits are the valid windows that are not."""
+    """Of a shard's contexts: which of their windows are repeated, as bits over columns; ``lead`` bits mark one window of all that are equal."""
     first: dict[bytes, int] = {}
     count: list[int] = []
     keep = []
@@ -261,43 +260,36 @@ def _shard(table: pa.Table) -> pa.Table:
     table = table.take(pa.array(keep))
     pieces, before = table.column("bytes").to_pylist(), table.column("before").to_numpy()
     sizes = np.array([len(p) for p in pieces])
-    found = Rounds(_matrix(pieces, before, SPAN - 1, WIDTH)).repeated(SPAN, LENGTH)
+    found, lead = Rounds(_matrix(pieces, before, SPAN - 1, WIDTH)).repeated(SPAN, LENGTH)
     column = np.arange(SPAN)
     low = (SPAN - 1 - before)[:, None]
     valid = (column >= low) & (column + LENGTH <= low + sizes[:, None])
     found |= (np.array(count) >= 2)[:, None]
     found &= valid
     pack = lambda x: [r.tobytes() for r in np.packbits(x, axis=1)]
-    return pa.table({"ctx": table.column("ctx"), "found": pa.array(pack(found), pa.binary()), "single": pa.array(pack(valid & ~found), pa.binary())})
+    return pa.table({"ctx": table.column("ctx"), "found": pa.array(pack(found), pa.binary()), "lead": pa.array(pack(valid & lead), pa.binary())})
 
 
-def _core_rows(batches):
-    """Of (ctx, bytes, before, single): steps of neighbouring windows with a single one, with the hash of the string common to the step."""
+def _window_rows(batches):
+    """Of (ctx, bytes, before, lead): the leading windows, by the hash of their bytes and column."""
     for batch in batches:
-        ctxs, cores, pieces, offsets = [], [], [], []
-        for ctx, piece, before, single in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            open_ = np.unpackbits(np.frombuffer(single, dtype=np.uint8))[:SPAN]
+        ctxs, columns, digests = [], [], []
+        for ctx, piece, before, lead in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             start = SPAN - 1 - before
-            for s in range(0, SPAN, STEP):
-                if open_[s : s + STEP].any():
-                    # windows s .. s + STEP - 1 all cover [s + STEP - 1, s + LENGTH)
-                    common = piece[max(0, s + STEP - 1 - start) : max(0, s + LENGTH - start)]
-                    ctxs.append(ctx)
-                    cores.append(xxhash.xxh3_128_digest(common, seed=s))
-                    pieces.append(piece[max(0, s - start) : max(0, s + STEP - 1 + LENGTH - start)])
-                    offsets.append(max(s, start))
-        yield pa.record_batch([pa.array(ctxs, pa.binary()), pa.array(cores, pa.binary()), pa.array(pieces, pa.binary()), pa.array(offsets, pa.int32())], ["ctx", "core", "bytes", "offset"])
-
-
-def _core_shard(table: pa.Table) -> pa.Table:
-    """Repeated windows among steps that share their common string."""
-    offset = table.column("offset").to_numpy()
-    pieces = table.column("bytes").to_pylist()
-    step = offset // STEP * STEP
-    found = Rounds(_matrix(pieces, step - offset, 0, STEP - 1 + LENGTH)).repeated(STEP, LENGTH)
-    out = np.zeros((len(pieces), SPAN + STEP), dtype=bool)
-    out[np.arange(len(pieces))[:, None], step[:, None] + np.arange(STEP)] = found
-    return pa.table({"ctx": table.column("ctx"), "found": pa.array([r.tobytes() for r in np.packbits(out[:, :SPAN], axis=1)], pa.binary())})
+            for c in np.flatnonzero(np.unpackbits(np.frombuffer(lead, dtype=np.uint8))[:SPAN]).tolist():
+                ctxs.append(ctx)
+                columns.append(c)
+                digests.append(xxhash.xxh3_128_digest(piece[c - start : c - start + LENGTH], seed=c))
+        yield pa.record_batch([pa.array(ctxs, pa.binary()), pa.array(columns, pa.int32()), pa.array(digests, pa.binary())], ["ctx", "column", "window"])
+
+
+def _bits(batches):
+    """(ctx, found) from (ctx, columns)."""
+    for batch in batches:
+        out = np.zeros((batch.num_rows, SPAN), dtype=bool)
+        for i, columns in enumerate(batch.column(1).to_pylist()):
+            out[i, columns] = True
+        yield pa.record_batch([batch.column(0), pa.array([r.tobytes() for r in np.packbits(out, axis=1)], pa.binary())], ["ctx", "found"])
 
 
 def repeated_windows(docs: DataFrame, shard_contexts: int = SHARD_CONTEXTS) -> tuple[DataFrame, DataFrame]:
@@ -320,15 +312,14 @@ def repeated_windows(docs: DataFrame, shard_contexts: int = SHARD_CONTEXTS) -> t
     # a hot string's salts are shards of their own
     shard = F.struct(F.when(F.col("salts") > 1, F.col("gram")).otherwise(F.pmod(F.xxhash64("gram"), F.lit(shards))).alias("a"), F.when(F.col("salts") > 1, salt).otherwise(-1).alias("b"))
     dealt = salted.select(shard.alias("shard"), "ctx", "bytes", "before", "n", "salts")
-    found = cut(dealt.select("shard", "ctx", "bytes", "before", "n").groupBy("shard").applyInArrow(_shard, "ctx binary, found binary, single binary"), "windows")
+    found = cut(dealt.select("shard", "ctx", "bytes", "before", "n").groupBy("shard").applyInArrow(_shard, "ctx binary, found binary, lead binary"), "windows")
     if hot.isEmpty():
         return places, found.select("ctx", "found")
-    rest = dealt.filter("salts > 1").select("ctx", "bytes", "before").join(found.select("ctx", "single"), "ctx").dropDuplicates(["ctx"])
-    cores = cut(rest.select("ctx", "bytes", "before", "single").mapInArrow(_core_rows, "ctx binary, core binary, bytes binary, offset int"), "cores")
-    twice = cores.groupBy("core").count().filter("count >= 2").select("core")
-    buckets = shards
-    met = cores.join(twice, "core").withColumn("bucket", F.pmod(F.xxhash64("core"), F.lit(buckets)))
-    more = cut(met.groupBy("bucket").applyInArrow(_core_shard, "ctx binary, found binary"), "windows")
+    # salts of one string: their leading windows meet by hash
+    rest = dealt.filter("salts > 1").select("ctx", "bytes", "before").join(found.select("ctx", "lead"), "ctx").dropDuplicates(["ctx"])
+    windows = cut(rest.select("ctx", "bytes", "before", "lead").mapInArrow(_window_rows, "ctx binary, column int, window binary"), "windows")
+    twice = windows.groupBy("window").count().filter("count >= 2").select("window")
+    more = windows.join(twice, "window").groupBy("ctx").agg(F.collect_set("column").alias("columns")).mapInArrow(_bits, "ctx binary, found binary")
     return places, found.select("ctx", "found").unionAll(more)
 
 
