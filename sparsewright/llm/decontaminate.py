@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparsewright.llm.frames import packed, restored
 from sparsewright.llm.vec import ALNUM, LOWER, Slice, prefix_hash, slices, span_hash, texts_of
 
 WINDOW = 8
@@ -281,6 +282,7 @@ def cut_words(text: str, begins: list, ends: list) -> str:
 def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, cut: bool = False) -> DataFrame:
     """``docs`` with n_words, begins, ends (hit word spans, in order, disjoint) and item_ids (as text, sorted). With ``cut``, the text is left without the spans."""
     spark = docs.sparkSession
+    docs = docs.drop("n_words", "begins", "ends", "item_ids")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     at = docs.columns.index("text")
 
@@ -322,6 +324,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
 
 def verdicts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated."""
+    docs = docs.drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "begins", "ends", "item_ids")
     found = find_spans(docs, benchmark)
     n_hit = F.aggregate(F.zip_with("ends", "begins", lambda e, b: e - b), F.lit(0).cast("long"), lambda a, x: a + x)
     return found.select(*docs.columns, "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.size("item_ids") >= MIN_ITEMS).alias("contaminated"))
@@ -343,9 +346,8 @@ def without_spans(found: DataFrame) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: contaminated documents go; any other loses its hit spans."""
-    found = find_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), cut=True)
-    out = found.filter(F.size("item_ids") < MIN_ITEMS).select(*docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    found = find_spans(packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), cut=True)
+    return restored(found.filter(F.size("item_ids") < MIN_ITEMS), docs, text_changed=True)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

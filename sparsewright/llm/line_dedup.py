@@ -12,7 +12,7 @@ line. A key is stored as its 128-bit digest.
 Cases: a null text is an empty text and has one empty line; a line without any
 character beside white space has an empty key and always stays; repeated rows
 are documents of their own; null ids are kept as they are; an empty table gives
-an empty result; further columns are ignored.
+an empty result; further columns are kept, but for those named like the results.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparsewright.llm.frames import packed, restored
 from sparsewright.llm.store import cut
 from sparsewright.llm.vec import SPACE, slices, texts_of
 
@@ -244,8 +245,9 @@ class LineStore:
 
     def rewrite(self, docs: DataFrame) -> DataFrame:
         """``docs`` with ``text`` as it stays, ``n_lines`` (before) and ``n_dropped``; null texts stay null unless they lose a line."""
-        hits = self.hits(docs).withColumnRenamed("doc_id", "hit_id")
-        joined = docs.join(hits, docs["doc_id"].eqNullSafe(hits["hit_id"]), "left").drop("hit_id")
+        docs = docs.drop("n_lines", "n_dropped")
+        hits = self.hits(docs).withColumnsRenamed({"doc_id": "__hit_id", "keys": "__keys"})
+        joined = docs.join(hits, docs["doc_id"].eqNullSafe(hits["__hit_id"]), "left").drop("__hit_id")
         out = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["n_lines long", "n_dropped long"]
         at = docs.columns.index("text")
 
@@ -288,8 +290,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: lines found in too many documents go; the documents stay, if need be with an empty text."""
-    out = LineStore.build(docs).rewrite(docs).select(*docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    rows = packed(docs)
+    return restored(LineStore.build(rows).rewrite(rows), docs, text_changed=True)
 
 
 OP3_SQL = r"""

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparsewright.llm.frames import packed, restored
 from sparsewright.llm.vec import slices, texts_of
 
 SPACE_MARK = "▁".encode()
@@ -238,6 +239,7 @@ def _run(batches, held, each, names, types):
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """``docs`` with ``ids``, and with ``begins`` and ``ends``: the pieces' byte spans in the text."""
+    docs = docs.drop("ids", "begins", "ends")
     held = docs.sparkSession.sparkContext.broadcast(read_model(model_path))  # a model file: some MB, whatever the data
 
     def each(use: Codec, texts: list[str]):
@@ -254,6 +256,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """``encoded`` with ``decoded``: the text of column ``ids`` (null: empty)."""
+    encoded = encoded.drop("decoded")
     held = encoded.sparkSession.sparkContext.broadcast(read_model(model_path))
 
     def run(batches):
@@ -316,5 +319,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def run(batches):
         return _run(batches, held, each, ["n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    rows = packed(docs)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    out = rows.mapInArrow(run, f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    names = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return restored(out, docs, extra={c: F.col(c) for c in names} | {"text_sha256": F.sha2(F.coalesce("text", F.lit("")), 256)})

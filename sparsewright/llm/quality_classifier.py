@@ -8,7 +8,7 @@ compiled into one Spark column expression over the statistics.
 Cases: null and empty texts have all-zero statistics and a score like any
 other; without labels of both classes the score is 0.5; repeated rows score
 alike; an empty table gives an empty result; further columns are kept by
-``with_statistics`` and must not bear a statistic's name (those are prefixed).
+``with_statistics`` (its own are prefixed, and replace any of their names).
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparsewright.llm.frames import packed, restored
 from sparsewright.llm.sampling import held_out, labelled, prior_shift
 from sparsewright.llm.vec import LEAD, NON_SPACE, U64, Slice, group_sum, mix, prefix_hash, slices, span_hash, table_of, texts_of
 
@@ -121,6 +122,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
 
 def with_statistics(docs: DataFrame) -> DataFrame:
     """``docs`` with a column ``stat_<name>`` for each statistic."""
+    docs = docs.drop(*(f"stat_{s}" for s in STATISTICS))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     at = docs.columns.index("text")
 
@@ -257,4 +259,4 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier rejects go. Labels come from the input folder's table."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return with_statistics(docs).filter(model.column() >= KEPT).select(*docs.columns)
+    return restored(with_statistics(packed(docs)).filter(model.column() >= KEPT), docs)
