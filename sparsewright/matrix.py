@@ -34,11 +34,13 @@ class Matrix:
     def select_features(self, features: DataFrame) -> Matrix:
         """Restrict to the ids in ``features`` (column ``feature``)."""
         ids = features.select("feature")
-        return Matrix(self.values.join(ids, "feature", "left_semi"), self.cells, self.features.join(ids, "feature", "left_semi"))
+        kept = self.values.join(ids, "feature", "left_semi").select(*self.values.columns)
+        return Matrix(kept, self.cells, self.features.join(ids, "feature", "left_semi"))
 
     def select_cells(self, cells: DataFrame) -> Matrix:
         ids = cells.select("cell")
-        return Matrix(self.values.join(ids, "cell", "left_semi"), self.cells.join(ids, "cell", "left_semi"), self.features)
+        kept = self.values.join(ids, "cell", "left_semi").select(*self.values.columns)
+        return Matrix(kept, self.cells.join(ids, "cell", "left_semi"), self.features)
 
     def dense(self) -> DataFrame:
         """All (feature, cell) pairs with explicit zeros: only where an operator must densify."""

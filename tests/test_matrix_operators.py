@@ -286,3 +286,24 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_presets(spark, tmp_path):
+    from sparsewright.sources import presets
+
+    (tmp_path / "DGE.mtx").write_text("%%MatrixMarket matrix coordinate real general\n2 3 2\n1 3 5\n2 1 2\n")
+    (tmp_path / "cell_metadata.csv").write_text("bc,x\nc1,0\nc2,0\n")
+    (tmp_path / "all_genes.csv").write_text("id,name\n1,A\n2,B\n3,C\n")
+    m = presets.read_parse_bio(spark, str(tmp_path))
+    assert {tuple(r) for r in m.values.collect()} == {("C", "c1", 5.0), ("A", "c2", 2.0)}
+    xy = spark.createDataFrame([("c1", 1.0, 2.0)], "cell string, x double, y double")
+    assert {tuple(r) for r in presets.load_spatial_counts(m, xy).values.collect()} == {("C", "c1", 5.0)}
+    assert tuple(presets.flip(xy).first()) == ("c1", 2.0, 1.0)
+    (tmp_path / "counts.csv").write_text("1,0\n0,3\n")
+    (tmp_path / "genes.csv").write_text("A\nB\n")
+    (tmp_path / "centroids.tsv").write_text("0.5 1\n2 3\n")
+    p = presets.load_positional(spark, *(str(tmp_path / n) for n in ("counts.csv", "genes.csv", "centroids.tsv")))
+    assert {tuple(r) for r in p.values.collect()} == {("A", 1, 1.0), ("B", 2, 3.0)} and p.cells.count() == 2
+    (tmp_path / "t.csv").write_text("cell_id,feature_name,qv\nx,A,30\nx,A,10\nx,Blank1,40\n")
+    t = presets.load_transcripts(spark, str(tmp_path / "t.csv"), skip="Blank")
+    assert [tuple(r) for r in t.values.collect()] == [("A", "x", 1.0)]
