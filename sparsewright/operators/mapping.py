@@ -175,3 +175,17 @@ def mapping_score(anchors: DataFrame, reference: DataFrame, query: DataFrame, k:
     one = before.join(width, "query").groupBy("query").agg(F.avg(kernel("dist")).alias("p"))
     two = after.join(width, "query").groupBy("query").agg(F.avg(kernel("dist")).alias("q"))
     return one.join(two, "query").join(onto.select(F.col("cell").alias("query")), "query", "left_semi").select(F.col("query").alias("cell"), F.least(F.lit(1.0), F.try_divide("q", "p")).alias("score"))
+
+
+def count_anchors(anchors: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(dataset1, dataset2, similarity): anchors of a pair of datasets over the smaller one's cells, from (dataset1, dataset2, ...) and (dataset, n)."""
+    n = anchors.groupBy("dataset1", "dataset2").agg(F.count(F.lit(1)).alias("k"))
+    for end in ("1", "2"):
+        n = n.join(sizes.select(F.col("dataset").alias(f"dataset{end}"), F.col("n").alias(f"n{end}")), f"dataset{end}")
+    return n.select("dataset1", "dataset2", (F.col("k") / F.least("n1", "n2")).alias("similarity"))
+
+
+def map_query(reference: DataFrame, query: DataFrame, labels: DataFrame, k_anchor: int = 5, k_score: int = 30, k_weight: int = 50) -> tuple[DataFrame, DataFrame]:
+    """(labels, vectors) of query cells: transferred labels and corrected vectors, by one table of anchor weights."""
+    weights = cut(anchor_weights(find_anchors(reference, query, k_anchor, k_score), query, k_weight), "weights")
+    return transfer_labels(weights, labels), vector_form(correct(weights, long_form(reference), long_form(query)))

@@ -337,11 +337,11 @@ def _coords(v: DataFrame) -> DataFrame:
 
 
 def _marks(v: DataFrame) -> DataFrame:
-    return v.select("cell", F.posexplode(F.slice("vector", 3, 8)).alias("feature", "value")).select("feature", "cell", "value")
+    return v.select("cell", F.posexplode(F.slice("vector", 3, 62)).alias("feature", "value")).select("feature", "cell", "value")
 
 
 @query("morans_i", """, wt AS (SELECT x.cell AS i, y.cell AS j, 1 / (pow(x.vec[1] - y.vec[1], 2) + pow(x.vec[2] - y.vec[2], 2)) AS w FROM v x, v y WHERE x.cell <> y.cell AND pow(x.vec[1] - y.vec[1], 2) + pow(x.vec[2] - y.vec[2], 2) > 0),
-z AS (SELECT cell, f, vec[f + 3] - avg(vec[f + 3]) OVER (PARTITION BY f) AS z FROM v, range(8) t(f)), s0 AS (SELECT sum(w) AS s0 FROM wt),
+z AS (SELECT cell, f, vec[f + 3] - avg(vec[f + 3]) OVER (PARTITION BY f) AS z FROM v, range(62) t(f)), s0 AS (SELECT sum(w) AS s0 FROM wt),
 s1 AS (SELECT sum(pow(a.w + coalesce(b.w, 0), 2)) / 2 AS s1 FROM wt a LEFT JOIN wt b ON a.i = b.j AND a.j = b.i),
 s2 AS (SELECT sum(pow(o + n, 2)) AS s2 FROM (SELECT i, sum(w) AS o FROM wt GROUP BY 1) x JOIN (SELECT j, sum(w) AS n FROM wt GROUP BY 1) y ON i = j),
 n AS (SELECT count(*)::DOUBLE AS n FROM v), q AS (SELECT f, sum(z * z) AS q FROM z GROUP BY 1),
@@ -355,7 +355,7 @@ def _(spark, sf_dir):
 
 
 @query("mark_variogram", """, p AS (SELECT query AS i, neighbor AS j FROM (SELECT x.cell AS query, y.cell AS neighbor, row_number() OVER (PARTITION BY x.cell ORDER BY round(sqrt(pow(x.vec[1] - y.vec[1], 2) + pow(x.vec[2] - y.vec[2], 2)), 9), y.cell) AS rank FROM v x, v y) WHERE rank <= 6 AND query <> neighbor)
-SELECT f::INT AS feature, round(avg(pow(a.vec[f + 3] - b.vec[f + 3], 2)) / 2 / (SELECT var_pop(vec[f + 3]) FROM v), 6) AS r_metric FROM p JOIN v a ON a.cell = i JOIN v b ON b.cell = j, range(8) t(f) GROUP BY f""")
+SELECT f::INT AS feature, round(avg(pow(a.vec[f + 3] - b.vec[f + 3], 2)) / 2 / (SELECT var_pop(vec[f + 3]) FROM v), 6) AS r_metric FROM p JOIN v a ON a.cell = i JOIN v b ON b.cell = j, range(62) t(f) GROUP BY f""")
 def _(spark, sf_dir):
     v = embedding_table(spark, sf_dir)
     plane = v.select("cell", F.slice("vector", 1, 2).alias("vector"))
@@ -365,7 +365,7 @@ def _(spark, sf_dir):
 
 @query("spatial_bins", """, s AS (SELECT min(vec[1]) AS lx, max(vec[1]) AS hx, min(vec[2]) AS ly, max(vec[2]) AS hy FROM v),
 b AS (SELECT cell, vec, least(4, floor((vec[1] - lx) / ((hx - lx) / 4)) + 1)::INT AS bin_x, least(4, floor((vec[2] - ly) / ((hy - ly) / 4)) + 1)::INT AS bin_y FROM v, s)
-SELECT f::INT AS feature, bin_x, bin_y, round(avg(vec[f + 3]), 6) + 0 AS value FROM b, range(8) t(f) GROUP BY 1, 2, 3""")
+SELECT f::INT AS feature, bin_x, bin_y, round(avg(vec[f + 3]), 6) + 0 AS value FROM b, range(62) t(f) GROUP BY 1, 2, 3""")
 def _(spark, sf_dir):
     v = embedding_table(spark, sf_dir)
     return rounded(aggregate.spatial_bins(_marks(v), _coords(v), 4, 4))

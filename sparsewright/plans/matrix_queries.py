@@ -149,28 +149,24 @@ def _brand(m: Matrix) -> DataFrame:
     return m.features.filter("brand = 'Brand#13'").select("feature")
 
 
-@query("scale_data", _CHOSEN + _MOM + " SELECT feature, cell, round(coalesce(CASE WHEN v > 1e-9 THEN least(10, (value - mu) / sqrt(v)) END, 0), 6) + 0 AS value FROM dense JOIN mom USING (feature) WHERE feature IN (SELECT feature FROM ch)")
+@query("scale_data", _MOM + " SELECT feature, cell, round(coalesce(CASE WHEN v > 1e-9 THEN least(10, (value - mu) / sqrt(v)) END, 0), 6) + 0 AS value FROM dense JOIN mom USING (feature)")
 def _(spark, sf_dir):
-    m = sales_matrix(spark, sf_dir)
-    return rounded(scaling.scale_data(m, _brand(m)))
+    return rounded(scaling.scale_data(sales_matrix(spark, sf_dir)))
 
 
-@query("scale_data_split", _CHOSEN + ", g AS (SELECT feature, ident, avg(value) AS mu, var_samp(value) AS v FROM dense JOIN c USING (cell) WHERE ident IS NOT NULL GROUP BY 1, 2) SELECT feature, cell, round(coalesce(CASE WHEN v > 1e-9 THEN least(10, (value - mu) / sqrt(v)) END, 0), 6) + 0 AS value FROM dense JOIN c USING (cell) JOIN g USING (feature, ident) WHERE feature IN (SELECT feature FROM ch)")
+@query("scale_data_split", ", g AS (SELECT feature, ident, avg(value) AS mu, var_samp(value) AS v FROM dense JOIN c USING (cell) WHERE ident IS NOT NULL GROUP BY 1, 2) SELECT feature, cell, round(coalesce(CASE WHEN v > 1e-9 THEN least(10, (value - mu) / sqrt(v)) END, 0), 6) + 0 AS value FROM dense JOIN c USING (cell) JOIN g USING (feature, ident)")
 def _(spark, sf_dir):
-    m = sales_matrix(spark, sf_dir)
-    return rounded(scaling.scale_data_by(m.select_features(_brand(m)), "ident"))
+    return rounded(scaling.scale_data_by(sales_matrix(spark, sf_dir), "ident"))
 
 
-@query("regress_linear", _CHOSEN + " , r AS (SELECT feature, regr_slope(value, covariate) AS b, avg(value) AS my, avg(covariate) AS mx FROM dense JOIN c USING (cell) GROUP BY 1) SELECT feature, cell, round(value - my - b * (covariate - mx), 6) + 0 AS value FROM dense JOIN c USING (cell) JOIN r USING (feature) WHERE feature IN (SELECT feature FROM ch)")
+@query("regress_linear", ", r AS (SELECT feature, regr_slope(value, covariate) AS b, avg(value) AS my, avg(covariate) AS mx FROM dense JOIN c USING (cell) GROUP BY 1) SELECT feature, cell, round(value - my - b * (covariate - mx), 6) + 0 AS value FROM dense JOIN c USING (cell) JOIN r USING (feature)")
 def _(spark, sf_dir):
-    m = sales_matrix(spark, sf_dir)
-    return rounded(scaling.regress_linear(m.select_features(_brand(m)), "covariate"))
+    return rounded(scaling.regress_linear(sales_matrix(spark, sf_dir), "covariate"))
 
 
 @query("regress_poisson")
 def _(spark, sf_dir):
-    m = sales_matrix(spark, sf_dir)
-    return rounded(scaling.regress_out(m.select_features(_brand(m)), ["covariate"], "poisson"), 4)
+    return rounded(scaling.regress_out(sales_matrix(spark, sf_dir), ["covariate"], "poisson"), 4)
 
 
 @query("average_expression", "SELECT feature, ident AS grp, round(avg(exp(value) - 1), 6) AS value FROM ddense JOIN c USING (cell) WHERE ident IS NOT NULL GROUP BY 1, 2")
@@ -184,12 +180,12 @@ def _(spark, sf_dir):
     return rounded(aggregate.pseudobulk(sales_matrix(spark, sf_dir), ["ident", "batch"], "aggregate"))
 
 
-@query("dot_plot_table", _CHOSEN + """, a AS (SELECT feature, ident AS grp, avg(exp(value) - 1) AS avg_exp, 100.0 * avg(CASE WHEN value > 0 THEN 1.0 ELSE 0 END) AS pct_exp FROM ddense JOIN c USING (cell) WHERE ident IS NOT NULL AND feature IN (SELECT feature FROM ch) GROUP BY 1, 2),
+@query("dot_plot_table", """, a AS (SELECT feature, ident AS grp, avg(exp(value) - 1) AS avg_exp, 100.0 * avg(CASE WHEN value > 0 THEN 1.0 ELSE 0 END) AS pct_exp FROM ddense JOIN c USING (cell) WHERE ident IS NOT NULL GROUP BY 1, 2),
 z AS (SELECT *, avg(ln(1 + avg_exp)) OVER w AS mu, stddev_samp(ln(1 + avg_exp)) OVER w AS sd FROM a WINDOW w AS (PARTITION BY feature))
 SELECT feature, grp, round(avg_exp, 6) AS avg_exp, round(pct_exp, 6) AS pct_exp, round(CASE WHEN sd > 0 THEN greatest(-2.5, least(2.5, (ln(1 + avg_exp) - mu) / sd)) END, 6) + 0 AS avg_scaled FROM z""")
 def _(spark, sf_dir):
     m = data(spark, sf_dir)
-    return rounded(aggregate.dot_plot(m, "ident", _brand(m)))
+    return rounded(aggregate.dot_plot(m, "ident", m.features))
 
 
 @query("meta_feature", _CHOSEN + ", rt AS (SELECT feature, sum(value) AS s FROM m WHERE feature IN (SELECT feature FROM ch) GROUP BY 1) SELECT c.cell, round(coalesce(x, 0), 6) AS score FROM c LEFT JOIN (SELECT cell, sum(value / s) / (SELECT count(*) FROM rt) AS x FROM m JOIN rt USING (feature) GROUP BY 1) USING (cell)")
@@ -309,13 +305,13 @@ def _(spark, sf_dir):
 @query("glm_poisson_test")
 def _(spark, sf_dir):
     m = sales_matrix(spark, sf_dir)
-    return rounded(differential.glm_test(m.select_features(_brand(m)), _groups(m), "poisson"), 4)
+    return rounded(differential.glm_test(m, _groups(m), "poisson"), 4)
 
 
 @query("logistic_test")
 def _(spark, sf_dir):
     m = data(spark, sf_dir)
-    return rounded(differential.glm_test(m.select_features(_brand(m)), _groups(m), "logistic"), 4)
+    return rounded(differential.glm_test(m, _groups(m), "logistic"), 4)
 
 
 @query("find_all_markers_statistics", """, i AS (SELECT DISTINCT ident AS cluster FROM c WHERE ident IS NOT NULL),
@@ -399,8 +395,7 @@ def _(spark, sf_dir):
 
 @query("matrix_row_shuffle")
 def _(spark, sf_dir):
-    m = sales_matrix(spark, sf_dir)
-    return verbs.shuffle_rows(m.select_features(_brand(m)))
+    return verbs.shuffle_rows(sales_matrix(spark, sf_dir))
 
 
 @query("doc_term_matrix", "SELECT term, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_total FROM (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1", base="")

@@ -54,10 +54,11 @@ def _(spark, sf_dir):
     return m.cells.select("cell", "ident").join(pick, "cell", "left").fillna(0.0, ["v1", "v2"])
 
 
-@query("wide_and_long", "SELECT feature::VARCHAR AS feature, cell, value FROM m WHERE feature BETWEEN 1 AND 50", M)
+@query("wide_and_long", "SELECT event_type AS feature, user_id AS cell, count(*)::DOUBLE AS value FROM events GROUP BY 1, 2")
 def _(spark, sf_dir):
-    m = sales_matrix(spark, sf_dir)
-    return long_form(wide_form(m.values.filter("feature between 1 and 50"), list(range(1, 51))), "cell")
+    rows = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("feature"), F.col("user_id").alias("cell")).agg(F.count(F.lit(1)).alias("value"))
+    types = [r[0] for r in rows.select("feature").distinct().orderBy("feature").collect()]
+    return long_form(wide_form(rows, types), "cell")
 
 
 @query("filter_radius", ", q AS (SELECT quantile_cont(vec[1], 0.01) AS a, quantile_cont(vec[1], 0.99) AS b, quantile_cont(vec[2], 0.01) AS c, quantile_cont(vec[2], 0.99) AS d FROM v), mid AS (SELECT (SELECT avg(vec[1]) FROM v, q WHERE vec[1] > a AND vec[1] < b) AS x, (SELECT avg(vec[2]) FROM v, q WHERE vec[2] > c AND vec[2] < d) AS y) SELECT cell FROM v, mid WHERE sqrt(pow(vec[1] - x, 2) + pow(vec[2] - y, 2)) <= 0.1", V)
@@ -86,18 +87,18 @@ def _(spark, sf_dir):
     return m.cells.select("cell", "ident").join(statistics.qc(m).select("cell", "n_count"), "cell", "left")
 
 
-@query("predict_assay", ", p AS (SELECT query, neighbor FROM nn WHERE rank <= 20 AND query <> neighbor) SELECT query AS cell, f::INT AS feature, round(avg(vec[f + 1]), 6) + 0 AS value FROM p JOIN v ON v.cell = neighbor, range(4) t(f) GROUP BY 1, 2", V)
+@query("predict_assay", ", p AS (SELECT query, neighbor FROM nn WHERE rank <= 20 AND query <> neighbor) SELECT query AS cell, f::INT AS feature, round(avg(vec[f + 1]), 6) + 0 AS value FROM p JOIN v ON v.cell = neighbor, range(64) t(f) GROUP BY 1, 2", V)
 def _(spark, sf_dir):
     v = embedding_table(spark, sf_dir)
-    values = v.select("cell", F.posexplode(F.slice("vector", 1, 4)).alias("feature", "value"))
+    values = v.select("cell", F.posexplode("vector").alias("feature", "value"))
     return rounded(neighbors.predict_values(neighbors.knn(v, k=20), values))
 
 
-@query("transfer_values", "SELECT weights.cell, f::INT AS feature, round(sum(weight * vec[f + 1]), 6) + 0 AS value FROM weights JOIN v ON v.cell = cell1, range(4) t(f) GROUP BY 1, 2", V)
+@query("transfer_values", "SELECT weights.cell, f::INT AS feature, round(sum(weight * vec[f + 1]), 6) + 0 AS value FROM weights JOIN v ON v.cell = cell1, range(64) t(f) GROUP BY 1, 2", V)
 def _(spark, sf_dir):
     v = embedding_table(spark, sf_dir)
     anchors = mapping.find_anchors(v.filter("cell % 2 = 0"), v.filter("cell % 2 = 1"), 5, 30)
-    values = v.select("cell", F.posexplode(F.slice("vector", 1, 4)).alias("feature", "value"))
+    values = v.select("cell", F.posexplode("vector").alias("feature", "value"))
     return rounded(mapping.transfer_values(mapping.anchor_weights(anchors, v.filter("cell % 2 = 1")), values))
 
 
@@ -155,7 +156,6 @@ def _(spark, sf_dir):
 
 def _transformed(spark, sf_dir) -> tuple[Matrix, object, object]:
     m = sales_matrix(spark, sf_dir)
-    m = m.select_features(m.features.filter("brand in ('Brand#13', 'Brand#25')"))
     return m, *residuals.transform(m)
 
 
@@ -175,13 +175,13 @@ def _(spark, sf_dir):
     return residuals.corrected_counts(m, p, r)
 
 
-@query("pearson_residuals_given_parameters", ", p AS (SELECT feature, ln(sum(value) / (SELECT sum(t) FROM tot)) AS b FROM m JOIN f USING (feature) WHERE brand = 'Brand#13' GROUP BY 1) SELECT feature, cell, round(greatest(-sqrt(n / 30), least(sqrt(n / 30), (value - exp(b) * t) / sqrt(exp(b) * t + pow(exp(b) * t, 2) / 10))), 6) + 0 AS value FROM dense JOIN p USING (feature) JOIN tot USING (cell), nc", M)
+@query("pearson_residuals_given_parameters", ", p AS (SELECT feature, ln(sum(value) / (SELECT sum(t) FROM tot)) AS b FROM m GROUP BY 1) SELECT feature, cell, round(greatest(-sqrt(n / 30), least(sqrt(n / 30), (value - exp(b) * t) / sqrt(exp(b) * t + pow(exp(b) * t, 2) / 10))), 6) + 0 AS value FROM dense JOIN p USING (feature) JOIN tot USING (cell), nc", M)
 def _(spark, sf_dir):
     import math
 
     m = sales_matrix(spark, sf_dir)
     total = m.values.agg(F.sum("value").alias("t"))
-    given = m.select_features(m.features.filter("brand = 'Brand#13'")).values.groupBy("feature").agg(F.sum("value").alias("s")).join(F.broadcast(total), how="cross")  # one row
+    given = m.values.groupBy("feature").agg(F.sum("value").alias("s")).join(F.broadcast(total), how="cross")  # one row
     params = given.select("feature", F.log(F.col("s") / F.col("t")).alias("intercept"), F.lit(math.log(10)).alias("slope"), F.lit(10.0).alias("theta"))
     return rounded(residuals.pearson(m, params))
 
@@ -225,3 +225,63 @@ def _(spark, sf_dir):
 @query("vst_expected_sd")
 def _(spark, sf_dir):
     return rounded(variable_features.expected_sd(sales_matrix(spark, sf_dir)), 4)
+
+
+@query("count_anchors", "SELECT 'even' AS dataset1, 'odd' AS dataset2, round(count(*) / (SELECT least(count(*) FILTER (WHERE cell % 2 = 0), count(*) FILTER (WHERE cell % 2 = 1)) FROM v)::DOUBLE, 6) AS similarity FROM mnn", V)
+def _(spark, sf_dir):
+    v = embedding_table(spark, sf_dir)
+    near = mapping.four_way(v.filter("cell % 2 = 0"), v.filter("cell % 2 = 1"), 5)
+    side = F.when(F.col("cell") % 2 == 0, "even").otherwise("odd")
+    sizes = v.groupBy(side.alias("dataset")).agg(F.count(F.lit(1)).alias("n"))
+    found = mapping.mutual_neighbors(near["ab"], near["ba"], 5).withColumns({"dataset1": F.lit("even"), "dataset2": F.lit("odd")})
+    return rounded(mapping.count_anchors(found, sizes))
+
+
+@query("map_query")
+def _(spark, sf_dir):
+    v = embedding_table(spark, sf_dir)
+    labels = v.select("cell", F.col("ident").alias("label"))
+    return rounded(mapping.map_query(v.filter("cell % 2 = 0"), v.filter("cell % 2 = 1"), labels)[0])
+
+
+@query("top_dim_features", """, l AS (SELECT cell AS feature, d AS dim, vec[d + 1] AS value FROM v, range(4) t(d)),
+r AS (SELECT feature, min(r) AS r FROM (SELECT feature, row_number() OVER (PARTITION BY dim ORDER BY abs(value) DESC, feature) AS r FROM l) GROUP BY 1),
+s AS (SELECT r, sum(count(*)) OVER (ORDER BY r) AS total FROM r GROUP BY 1)
+SELECT feature FROM r WHERE r <= (SELECT max(r) FROM s WHERE total < 100)""", V)
+def _(spark, sf_dir):
+    rows = embedding_table(spark, sf_dir).select(F.col("cell").alias("feature"), F.posexplode("vector").alias("dim", "value"))
+    return reduction.top_dim_features(rows, 4, 100)
+
+
+@query("significant_features")
+def _(spark, sf_dir):
+    v = embedding_table(spark, sf_dir).select("cell", "vector")
+    return rounded(reduction.significant_features(spark.createDataFrame(reduction.jackstraw(v, 3, 3)), [0, 1]))
+
+
+@query("independent_components")
+def _(spark, sf_dir):
+    v = embedding_table(spark, sf_dir).select("cell", "vector")
+    return rounded(reduction.ica(v, 5)[0].select("cell", F.posexplode("vector").alias("dim", "value")), 3)
+
+
+@query("find_markers_t")
+def _(spark, sf_dir):
+    from sparsewright.operators import differential
+
+    return rounded(differential.find_markers(matrix_queries.data(spark, sf_dir), "ident", matrix_queries.FIRST, matrix_queries.SECOND, test="t"))
+
+
+@query("negbinom_test")
+def _(spark, sf_dir):
+    from sparsewright.operators import differential
+
+    m = sales_matrix(spark, sf_dir)
+    return rounded(differential.glm_test(m, differential.two_groups(m, "ident", matrix_queries.FIRST, matrix_queries.SECOND), "negbinom"), 4)
+
+
+@query("bimod_test_markers")
+def _(spark, sf_dir):
+    from sparsewright.operators import differential
+
+    return rounded(differential.find_markers(matrix_queries.data(spark, sf_dir), "ident", matrix_queries.FIRST, matrix_queries.SECOND, test="bimod"))

@@ -307,3 +307,15 @@ def test_presets(spark, tmp_path):
     (tmp_path / "t.csv").write_text("cell_id,feature_name,qv\nx,A,30\nx,A,10\nx,Blank1,40\n")
     t = presets.load_transcripts(spark, str(tmp_path / "t.csv"), skip="Blank")
     assert [tuple(r) for r in t.values.collect()] == [("A", "x", 1.0)]
+
+
+def test_independent_components(spark):
+    from sparsewright.operators.reduction import ica
+
+    rng = np.random.default_rng(3)
+    s = np.column_stack([rng.uniform(-1, 1, 1500), rng.laplace(size=1500)])
+    x = s @ np.array([[1.0, 0.6, 0.2], [0.5, -1.0, 0.7]])
+    v = spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(x)], "cell long, vector array<double>")
+    got = np.array([r.vector for r in ica(v, 2)[0].orderBy("cell").collect()])
+    c = np.abs(np.corrcoef(got.T, s.T)[:2, 2:])
+    assert c.max(axis=1).min() > 0.98 and set(c.argmax(axis=1)) == {0, 1}
