@@ -4,7 +4,8 @@ Exact search compares blocks of queries with blocks of references: a vector is
 sent to as many tasks as the other side has blocks, each task multiplies two
 blocks and keeps the k nearest of each query, and a window over those few takes
 the final k. No task holds more than two blocks and no pair list is made.
-``knn_buckets`` searches random-projection buckets instead.
+``knn_buckets`` searches random-projection buckets instead, as many as a measured
+recall asks for.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from sparsewright.functions.scalar import euclidean, l2_normalize
 
 BLOCK = 2048
+#: Queries whose exact neighbours tell how many buckets must be probed.
+SAMPLE_QUERIES = 256
 
 
 def _blocks(rows: DataFrame) -> tuple[DataFrame, int]:
@@ -24,6 +27,38 @@ def _blocks(rows: DataFrame) -> tuple[DataFrame, int]:
     return rows.select("cell", "vector").withColumn("b", F.pmod(F.xxhash64("cell"), F.lit(n)).cast("int")), n
 
 
+def _searcher(k: int):
+    """Function of a cogroup: the k nearest references of each query of the group."""
+
+    def nearest(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query": [], "neighbor": [], "dist": []})
+        b = b.sort_values("ref", kind="stable")
+        x, y, ids = np.stack(a["vector"].to_numpy()), np.stack(b["ref_vector"].to_numpy()), b["ref"].to_numpy()
+        yy = (y * y).sum(axis=1)
+        m, out = min(len(y), k), []
+        wide = min(len(y), m + 16)
+        for lo in range(0, len(x), 128):
+            part = x[lo : lo + 128]
+            rough = yy - 2 * (part @ y.T)
+            some = np.broadcast_to(np.arange(len(y)), rough.shape) if wide == len(y) else np.sort(np.argpartition(rough, wide - 1, axis=1)[:, :wide], axis=1)
+            d = np.sqrt(((y[some] - part[:, None]) ** 2).sum(axis=2))
+            order = np.lexsort((some, d), axis=-1)[:, :m]
+            best, dist = np.take_along_axis(some, order, 1), np.take_along_axis(d, order, 1)
+            if wide < len(y):  # ties at the edge must all be seen
+                held = np.sort(np.take_along_axis(rough, some, 1), axis=1)
+                limit = held[:, m - 1] + 1e-9 * (1 + (part * part).sum(axis=1))
+                for i in np.flatnonzero(held[:, -1] <= limit):
+                    tied = np.flatnonzero(rough[i] <= limit[i])
+                    e = np.sqrt(((y[tied] - part[i]) ** 2).sum(axis=1))
+                    order = np.lexsort((tied, e))[:m]
+                    best[i], dist[i] = tied[order], e[order]
+            out.append(pd.DataFrame({"query": np.repeat(a["cell"].to_numpy()[lo : lo + 128], m), "neighbor": ids[best.ravel()], "dist": dist.ravel()}))
+        return pd.concat(out)
+
+    return nearest
+
+
 def knn(reference: DataFrame, query: DataFrame | None = None, k: int = 20, metric: str = "euclidean") -> DataFrame:
     """(query, neighbor, rank, dist) of the k nearest of each query among (cell, vector); itself included if it is there; ties by id."""
     query = reference if query is None else query
@@ -38,44 +73,85 @@ def knn(reference: DataFrame, query: DataFrame | None = None, k: int = 20, metri
     # new names: both sides may stem from one table
     right = refs.select(F.col("cell").alias("ref"), F.col("vector").alias("ref_vector"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("ref_qb"), F.col("b").alias("ref_rb"))
 
-    def nearest(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query": [], "neighbor": [], "dist": []})
-        b = b.sort_values("ref", kind="stable")
-        x, y, ids = np.stack(a["vector"].to_numpy()), np.stack(b["ref_vector"].to_numpy()), b["ref"].to_numpy()
-        yy = (y * y).sum(axis=1)
-        m, out = min(len(y), k), []
-        wide = min(len(y), m + 16)
-        for i in range(len(x)):
-            rough = yy - 2 * (y @ x[i])
-            some = np.arange(len(y)) if wide == len(y) else np.argpartition(rough, wide - 1)[:wide]
-            if wide < len(y):  # ties at the edge must all be seen
-                some = np.flatnonzero(rough <= np.sort(rough[some])[m - 1] + 1e-9 * (1 + abs(float(x[i] @ x[i]))))
-            d = np.sqrt(((y[some] - x[i]) ** 2).sum(axis=1))
-            best = some[np.lexsort((some, d))[:m]]
-            out.append(pd.DataFrame({"query": a["cell"].iloc[i], "neighbor": ids[best], "dist": np.sqrt(((y[best] - x[i]) ** 2).sum(axis=1))}))
-        return pd.concat(out)
-
-    found = left.groupBy("qb", "rb").cogroup(right.groupBy("ref_qb", "ref_rb")).applyInPandas(nearest, f"query {kind}, neighbor {kind}, dist double")
+    found = left.groupBy("qb", "rb").cogroup(right.groupBy("ref_qb", "ref_rb")).applyInPandas(_searcher(k), f"query {kind}, neighbor {kind}, dist double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.round("dist", 9), "neighbor"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "neighbor", "rank", "dist")
 
 
-def knn_buckets(reference: DataFrame, query: DataFrame, k: int = 20, tables: int = 8, bits: int = 6, seed: int = 11) -> DataFrame:
-    """Approximate neighbours: the k nearest among those that share a bucket of sign bits in one of the tables."""
-    dims = len(reference.select("vector").first()[0])
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, dims))
+def _probe_order(x: np.ndarray, centre: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """Buckets of each vector by rising cost: the squared projections on the planes that lie between."""
+    s = (x - centre) @ planes
+    codes = (np.arange(1 << planes.shape[1])[:, None] >> np.arange(planes.shape[1])) & 1
+    up, s = (s > 0).astype(float), s * s
+    return np.argsort((s * (1 - up)) @ codes.T + (s * up) @ (1 - codes).T, axis=1, kind="stable")
+
 
-    def bucket(t: int) -> Column:
-        signs = [F.when(F.aggregate(F.zip_with("vector", F.array(*map(F.lit, map(float, planes[t, b]))), lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v) > 0, "1").otherwise("0") for b in range(bits)]
-        return F.concat(F.lit(f"{t}:"), *signs)
+def knn_buckets(reference: DataFrame, query: DataFrame, k: int = 20, recall: float = 0.95, seed: int = 11) -> DataFrame:
+    """Approximate neighbours: the k nearest among the references in the buckets that a query probes.
 
-    key = F.array(*(bucket(t) for t in range(tables)))
-    a = query.select(F.col("cell").alias("query"), F.col("vector").alias("qv"), F.explode(key).alias("bucket"))
-    b = reference.select(F.col("cell").alias("neighbor"), F.col("vector").alias("rv"), F.explode(key).alias("bucket"))
-    pairs = a.join(b, "bucket").dropDuplicates(["query", "neighbor"]).select("query", "neighbor", euclidean(F.col("qv"), F.col("rv")).alias("dist"))
+    A bucket is the sign bits of a vector, less the references' mean, on random
+    orthogonal directions; there are about sqrt(n) of them, 4096 at most. A query
+    probes buckets by rising distance of the planes it must cross. How many is
+    measured: of ``SAMPLE_QUERIES`` queries (by hash) the exact neighbours are
+    found, and so many buckets are probed that they hold the share ``recall`` of
+    these. A query whose buckets hold under k references probes on until they hold
+    k. Where half of the buckets or more are needed (vectors without structure),
+    they save nothing and the search is ``knn``.
+    """
+    n = reference.count()
+    if not n:
+        return knn(reference, query, k)
+    dims = len(reference.select("vector").first()[0])
+    bits = max(1, min(12, dims, round(np.log2(n) / 2)))
+    planes = np.linalg.qr(np.random.default_rng(seed).normal(size=(dims, bits)))[0]
+    centre = np.array([r[1] for r in reference.select(F.posexplode("vector")).groupBy("pos").agg(F.round(F.avg("col"), 9)).orderBy("pos").collect()])
+    kind, asked = reference.schema["cell"].dataType.simpleString(), query.schema["cell"].dataType.simpleString()
+
+    def own(frames):
+        for pdf in frames:
+            if len(pdf):
+                yield pdf.assign(bucket=_probe_order(np.stack(pdf["vector"].to_numpy()), centre, planes)[:, 0])
+
+    refs = reference.select("cell", "vector").mapInPandas(own, f"cell {kind}, vector array<double>, bucket int")
+    size = np.zeros(1 << bits, dtype=np.int64)
+    for r in refs.groupBy("bucket").count().collect():  # 4096 rows at most
+        size[r["bucket"]] = r["count"]
+
+    some = query.select("cell", "vector").orderBy(F.xxhash64("cell"), "cell").limit(SAMPLE_QUERIES)
+    local = {r["cell"]: r["vector"] for r in some.collect()}
+    if not local:
+        return knn(reference, query, k)
+    order = dict(zip(local, _probe_order(np.array(list(local.values())), centre, planes), strict=True))
+    true = knn(reference, query.join(F.broadcast(some.select("cell")), "cell", "left_semi"), k).join(refs.select(F.col("cell").alias("neighbor"), "bucket"), "neighbor")
+    turn = np.sort([int(np.flatnonzero(order[r["query"]] == r["bucket"])[0]) for r in true.select("query", "bucket").collect()])
+    probes = int(turn[int(np.ceil(recall * len(turn))) - 1]) + 1
+    if 2 * probes >= len(size):
+        return knn(reference, query, k)
+    blocks = np.maximum(1, -(-size // BLOCK))
+
+    def probed(frames):
+        for whole in frames:
+            for lo in range(0, len(whole), 256):
+                pdf = whole.iloc[lo : lo + 256]
+                turns = _probe_order(np.stack(pdf["vector"].to_numpy()), centre, planes)
+                enough = (np.cumsum(size[turns], axis=1) < min(k, n)).sum(axis=1) + 1
+                at, j = np.nonzero((np.arange(len(size)) < np.maximum(probes, enough)[:, None]) & (size[turns] > 0))
+                bucket = turns[at, j]
+                # a large bucket's references lie in several blocks: the query goes to each
+                times = blocks[bucket]
+                again = np.repeat(np.arange(len(at)), times)
+                block = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
+                yield pd.DataFrame({"cell": pdf["cell"].to_numpy()[at[again]], "vector": pdf["vector"].to_numpy()[at[again]], "bucket": bucket[again], "block": block})
+
+    nq = max(1, -(-query.count() * probes // (BLOCK * len(size))))
+    left = query.select("cell", "vector").mapInPandas(probed, f"cell {asked}, vector array<double>, bucket int, block int")
+    left = left.withColumn("part", F.pmod(F.xxhash64("cell"), F.lit(nq)).cast("int"))
+    many = F.element_at(F.array(*map(F.lit, blocks.tolist())), F.col("bucket") + 1)
+    right = refs.select(F.col("cell").alias("ref"), F.col("vector").alias("ref_vector"), F.col("bucket").alias("ref_bucket"), F.pmod(F.xxhash64("cell"), many).cast("int").alias("ref_block"))
+    right = right.withColumn("ref_part", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    found = left.groupBy("bucket", "block", "part").cogroup(right.groupBy("ref_bucket", "ref_block", "ref_part")).applyInPandas(_searcher(k), f"query {asked}, neighbor {kind}, dist double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.round("dist", 9), "neighbor"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "neighbor", "rank", "dist")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "neighbor", "rank", "dist")
 
 
 def nn_graph(neighbors: DataFrame) -> DataFrame:

@@ -319,3 +319,16 @@ def test_independent_components(spark):
     got = np.array([r.vector for r in ica(v, 2)[0].orderBy("cell").collect()])
     c = np.abs(np.corrcoef(got.T, s.T)[:2, 2:])
     assert c.max(axis=1).min() > 0.98 and set(c.argmax(axis=1)) == {0, 1}
+
+
+@pytest.mark.parametrize("dims, k", [(24, 20), (5, 20), (5, 400)])
+def test_bucket_neighbours_recall(spark, dims, k):
+    """Vectors off the origin with a heap of equal ones, of many dimensions (exact blocks) and few (buckets): nine of ten true neighbours, and always k of them."""
+    from sparsewright.operators.neighbors import knn, knn_buckets
+
+    x = np.random.default_rng(4).normal(size=(900, dims)) + 5
+    x[:60] = x[0]
+    v = spark.createDataFrame([(i, [float(e) for e in row]) for i, row in enumerate(x)], "cell int, vector array<double>")
+    true, got = ({(r.query, r.neighbor) for r in f.collect()} for f in (knn(v, k=k), knn_buckets(v, v, k)))
+    assert len(got) == 900 * k and len(got & true) >= 0.9 * len(true)
+    assert dims != 5 or k != 20 or got != true
