@@ -1,6 +1,7 @@
 """License scan: an exact set-similarity join of text blocks with notice templates, in DataFrame operations only.
 
-A block is a line; its tokens are a set. A block matches a template if it holds
+A block is a line, or, so that wrapped notices are found, a window of as many
+consecutive words as the template has, across line ends; its tokens are a set. A block matches a template if it holds
 at least ``THRESHOLD`` of the template's tokens. Tokens are ordered by their
 document frequency over the whole table, rarest first (ties by token); then
 
@@ -12,6 +13,11 @@ document frequency over the whole table, rarest first (ties by token); then
   reach ``need``;
 * the survivors are verified by the exact intersection.
 
+Windows that lie in one line find nothing that the line does not, so only texts
+of several lines have them. A matching window holds a prefix token: the words
+within a window's length around each one must hold ``need`` tokens of T, and then
+every window in there is verified.
+
 The base labels come from phrases whose words stand consecutively anywhere in
 the text, across lines too.
 
@@ -124,6 +130,34 @@ def matches(docs: DataFrame, often: dict[str, int], templates: dict[str, str] =
     return survivors.filter((F.col("token") == F.element_at("common", 1)) & (F.size("common") >= F.col("need"))).select("doc_id", "text_key", "line_no", "label", (F.size("common") / F.size("template")).alias("containment"))
 
 
+def wrapped(docs: DataFrame, often: dict[str, int], templates: dict[str, str] = TEMPLATES, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """(doc_id, text_key, label, containment) of the best window across line ends around each prefix token, where it matches."""
+    sets = token_sets(templates)
+    place = {t: (often.get(t, 0), t) for t in vocabulary_of(sets)}
+    entries, prefixes, widest = [], set(), 1
+    for label, s in sets.items():
+        ranked, need, width = sorted(s, key=place.get), need_of(len(s), threshold), len(tokens(templates[label]))
+        widest = max(widest, width)
+        for token in ranked[: len(s) - need + 1]:
+            prefixes.add(token)
+            entries.append(F.struct(F.lit(token).alias("token"), F.lit(label).alias("label"), F.lit(need).alias("need"), F.lit(width).alias("width"), _strings(ranked).alias("template")))
+    index = docs.sparkSession.range(1).select(F.inline(F.array(*entries)))
+    low = docs.filter(F.contains("text", F.lit("\n"))).select("doc_id", F.xxhash64("text").alias("text_key"), words_of(lowered(F.col("text"))).alias("words"))
+    rare = _strings(sorted(prefixes))
+    some = low.filter(F.arrays_overlap("words", rare))
+    # the words around each prefix token, and its place among them
+    first = lambda i: F.greatest(i + 2 - widest, F.lit(1))
+    around = F.transform("words", lambda w, i: F.when(F.array_contains(rare, w), F.struct(w.alias("token"), (i + 2 - first(i)).alias("at"), F.slice("words", first(i), i + 1 + widest - first(i)).alias("near"))))
+    probes = some.select("doc_id", "text_key", F.inline(F.array_compact(around))).join(F.broadcast(index), "token")
+    begin = F.greatest(F.col("at") - F.col("width") + 1, F.lit(1))
+    probes = probes.withColumn("near", F.slice("near", begin, F.col("at") - begin + F.col("width")))
+    survivors = probes.filter(F.size(F.array_intersect("template", "near")) >= F.col("need"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("near") - F.col("width") + 1, F.lit(1)))
+    common = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect("template", F.slice("near", i, F.col("width"))))))
+    best = survivors.withColumn("common", common).filter(F.col("common") >= F.col("need"))
+    return best.select("doc_id", "text_key", "label", (F.col("common") / F.size("template")).alias("containment"))
+
+
 def _starts(words: Column, phrase: str) -> Column:
     """Places where the phrase's words stand consecutively."""
     parts = phrase.split()
@@ -159,7 +193,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: tupl
     The score is 1 for a base phrase, else the largest containment of a match, else 0.
     """
     a = cut(base(docs, vocabulary_of(token_sets(templates))), "license-base")
-    per_doc = matches(docs, frequencies(a), templates, threshold).groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    often = frequencies(a)
+    found = matches(docs, often, templates, threshold).drop("line_no").unionByName(wrapped(docs, often, templates, threshold))
+    per_doc = found.groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     per_doc = per_doc.withColumnsRenamed({"doc_id": "m_doc", "text_key": "m_key"})
     joined = a.join(per_doc, a["doc_id"].eqNullSafe(per_doc["m_doc"]) & (a["text_key"] == per_doc["m_key"]), "left")
     labels = F.array_sort(F.array_union("base_set", F.coalesce("more", F.array().cast("array<string>"))))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -422,6 +423,21 @@ def test_license_scan(docs, texts, empty):
     assert ls.scan(empty).count() == 0
 
 
+@pytest.mark.parametrize("width", [20, 40, 72])
+def test_license_scan_of_wrapped_notices(spark, width):
+    from sparsewright.llm import license_scan as ls
+
+    rows = [(i, "import os, sys\n\n# " + "\n# ".join(textwrap.wrap(notice, width)) + "\n\nx = 1\n", label) for i, (label, notice) in enumerate(ls.TEMPLATES.items())]
+    notice = ls.TEMPLATES["bsd-grant"].split()
+    # tokens further apart than the notice is long are no notice
+    rows.append((100, "\n".join(w + " one two three four five six" for w in notice), None))
+    rows.append((101, None, None))
+    got = by_id(ls.scan(spark.createDataFrame(rows, "doc_id long, text string, want string").drop("want")))
+    for i, _, label in rows[:-2]:
+        assert label in got[i].labels.split(",") and got[i].score == 1.0
+    assert [(got[i].labels, got[i].score) for i in (100, 101)] == [("", 0.0)] * 2
+
+
 def test_slices_cover_batches():
     from sparsewright.llm.vec import slices
 
