@@ -12,12 +12,13 @@ walking back to a sampled position, and the covered words are merged to spans.
 A window is ``WINDOW`` consecutive words of an item; an item with fewer words,
 but some, is one window. Benchmark items go to the executors in blocks of at
 most ``BLOCK_WORDS`` words, so memory does not follow the benchmark; each block
-is a pass, and the passes' spans are merged per document.
+is a pass. The first keeps every row; the others' spans are merged by the text's
+SHA-256 and joined to the rows, as equal texts have equal hits.
 
 Cases: null and empty texts have no words and no hits; items without words
 match nothing; repeated items count once each by id, repeated rows of documents
-are kept with one result each where one block suffices and are merged by id
-beyond; an empty benchmark or table gives zero hits or no rows.
+and rows without an id or with a shared one keep one result each; an empty
+benchmark or table gives zero hits or no rows.
 """
 
 from __future__ import annotations
@@ -283,10 +284,10 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
     """``docs`` with n_words, begins, ends (hit word spans, in order, disjoint) and item_ids (as text, sorted). With ``cut``, the text is left without the spans."""
     spark = docs.sparkSession
     docs = docs.drop("n_words", "begins", "ends", "item_ids")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    at = docs.columns.index("text")
 
-    def search(block: list[tuple], cut: bool = False) -> DataFrame:
+    def search(docs: DataFrame, block: list[tuple], cut: bool = False) -> DataFrame:
+        kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+        at = docs.columns.index("text")
         held = spark.sparkContext.broadcast(Windows.of(block, window))
 
         def run(batches):
@@ -305,20 +306,26 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
     blocks = _blocks(benchmark, block_words)
     first, second = next(blocks, []), next(blocks, None)
     if second is None:
-        return search(first, cut)
-    passes = [search(b) for b in (first, second)] + [search(b) for b in blocks]
-    more = passes[0]
-    for p in passes[1:]:
-        more = more.unionByName(p)
-    spans = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("begins", "ends"))))
+        return search(docs, first, cut)
+    texts = docs.select("text")
+    more = search(texts, second)
+    for block in blocks:
+        more = more.unionByName(search(texts, block))
+    hits = more.filter(F.size("begins") > 0).groupBy(F.sha2("text", 256).alias("hit_key"))
+    hits = hits.agg(F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("begins", "ends")))).alias("more_spans"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("more_items"))
+    own = search(docs, first)
+    rows = own.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "n_words", "begins", "ends", "item_ids", F.sha2("text", 256).alias("row_key"))
+    rows = rows.join(hits, F.col("row_key") == F.col("hit_key"), "left")
+    zipped = F.arrays_zip("begins", "ends")
+    spans = F.array_sort(F.concat(zipped, F.coalesce("more_spans", F.array().cast("array<struct<begins:bigint,ends:bigint>>"))))
     merged = F.aggregate(
         "spans",
         F.array().cast("array<struct<begins:bigint,ends:bigint>>"),
         lambda out, s: F.when((F.size(out) > 0) & (F.element_at(out, -1)["ends"] >= s["begins"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["begins"].alias("begins"), F.greatest(F.element_at(out, -1)["ends"], s["ends"]).alias("ends"))))).otherwise(F.concat(out, F.array(F.struct(s["begins"].alias("begins"), s["ends"].alias("ends"))))),
     )
-    firsts = [F.first(f"`{c}`").alias(c) for c in [*docs.columns, "n_words"] if c != "doc_id"]
-    by_doc = more.groupBy("doc_id").agg(*firsts, spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids")).withColumn("spans", merged)
-    merged = by_doc.select(*docs.columns, "n_words", F.col("spans")["begins"].alias("begins"), F.col("spans")["ends"].alias("ends"), "item_ids")
+    items = F.array_sort(F.array_union("item_ids", F.coalesce("more_items", F.array().cast("array<string>"))))
+    rows = rows.select("row", "n_words", spans.alias("spans"), items.alias("item_ids")).withColumn("spans", merged)
+    merged = rows.select(*(F.col(f"row.`{c}`") for c in docs.columns), "n_words", F.col("spans")["begins"].alias("begins"), F.col("spans")["ends"].alias("ends"), "item_ids")
     return without_spans(merged) if cut else merged
 
 

@@ -248,6 +248,22 @@ def test_decontaminate(spark, docs, texts, empty, block_words):
     assert all(r.item_ids == [] for r in find_spans(docs, bench.limit(0)).collect())
 
 
+@pytest.mark.parametrize("block_words", [1 << 20, 5])
+def test_decontaminate_keeps_rows_without_own_id(spark, block_words):
+    from sparsewright.llm.decontaminate import find_spans
+
+    bench = spark.createDataFrame([(0, "one two three"), (1, "four five six")], "item_id long, text string")
+    rows = [(None, "say one two three now", 1), (None, "four five six", 2), (None, None, 3), (7, "a four five six b one two three c", 4), (7, "clean words", 5), (8, "one two three", 6), (8, "one two three", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    found = find_spans(docs, bench, window=3, block_words=block_words)
+    assert found.columns == ["doc_id", "text", "n", "n_words", "begins", "ends", "item_ids"]
+    got = sorted((r.n, r.doc_id, r.text, r.n_words, r.begins, r.ends, r.item_ids) for r in found.collect())
+    want = [(5, [1], [4], ["0"]), (3, [0], [3], ["1"]), (0, [], [], []), (9, [1, 5], [4, 8], ["0", "1"]), (2, [], [], []), (3, [0], [3], ["0"]), (3, [0], [3], ["0"])]
+    assert got == [(n, i, t, *w) for (i, t, n), w in zip(rows, want)]
+    cut = find_spans(docs, bench, window=3, block_words=block_words, cut=True)
+    assert sorted((r.n, r.text or "") for r in cut.collect()) == [(1, "say  now"), (2, ""), (3, ""), (4, "a  b  c"), (5, "clean words"), (6, ""), (6, "")]
+
+
 def test_fm_index():
     from sparsewright.llm.decontaminate import FMIndex
 
