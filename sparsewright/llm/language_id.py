@@ -177,27 +177,36 @@ class Model:
 
 
 def train(docs: DataFrame, modulus: int = 3, rest: int = 1, sample_docs: int = SAMPLE_DOCS, train_chars: int = TRAIN_CHARS) -> Model:
-    """Sample at most ``sample_docs`` documents a language, none longer than ``train_chars``, and take whole ones, in order of hash, while they fit into ``train_chars``.
+    """Sample at most ``sample_docs`` documents with letters a language, by hash among all of them, and take whole ones, in order of hash, while they fit into ``train_chars``.
 
-    A language with longer documents only is learned from the first such piece of each of them.
+    What room they leave, of ``train_chars // sample_docs`` characters or more, is filled with
+    pieces of the others, equally long ones. A text over ``train_chars`` gives a piece from a hashed place of its letters.
     """
     known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).filter(remainder(modulus) != rest)
-    known = known.select("doc_id", "text", F.col("lang").alias("label"))
-    short = known.filter(F.length("text") <= train_chars)
-    picked, total = bounded(short.select("doc_id", "label"), "label", sample_docs)
-    rows = short.join(F.broadcast(picked), ["doc_id", "label"]).collect()
-    missing = [r[0] for r in known.select("label").distinct().collect() if r[0] not in total]
-    if len(total) + len(missing) > MAX_LANGUAGES:
-        raise ValueError(f"{len(total) + len(missing)} labels in lang; at most {MAX_LANGUAGES} can be learned")
-    if missing:
-        long = known.filter(F.col("label").isin(missing))
-        rest_picked, _ = bounded(long.select("doc_id", "label"), "label", sample_docs)
-        rows += long.join(F.broadcast(rest_picked), ["doc_id", "label"]).select("doc_id", "label", F.substring("text", 1, train_chars // sample_docs).alias("text")).collect()
+    known = known.select("doc_id", "text", F.col("lang").alias("label")).filter(F.col("text").rlike(r"\p{L}"))
+    picked, total = bounded(known.select("doc_id", "label"), "label", sample_docs)
+    if len(total) > MAX_LANGUAGES:
+        raise ValueError(f"{len(total)} labels in lang; at most {MAX_LANGUAGES} can be learned")
+    low = F.regexp_replace("text", r"\P{L}+", " ")
+    place = F.pmod(F.xxhash64("text"), F.greatest(F.length(low) - train_chars + 1, F.lit(1))).cast("int") + 1
+    long = F.length("text") > train_chars
+    text = F.when(long, F.substring(low, place, F.lit(train_chars))).otherwise(F.col("text"))
+    rows = known.join(F.broadcast(picked), ["doc_id", "label"]).select("doc_id", "label", long.alias("long"), text.alias("text")).collect()
     samples: dict[str, str] = {}
+    others: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.label, xxhash.xxh64_intdigest(str(r.doc_id)), r.text)):
         held, more = samples.get(r.label, ""), clean(r.text).strip()
-        if more and len(held) + 1 + len(more) <= max(train_chars, len(more)):
+        if more and not r.long and len(held) + 1 + len(more) <= max(train_chars, len(more)):
             samples[r.label] = f"{held} {more}" if held else more
+        elif more:
+            others.setdefault(r.label, []).append(more)
+    least = max(1, train_chars // sample_docs)
+    for label, texts in others.items():
+        held = samples.get(label, "")
+        room = train_chars - len(held)
+        count = min(len(texts), room // least)
+        if count:
+            samples[label] = " ".join([*([held] if held else []), *(t[: max(1, room // count - 1)] for t in texts[:count])])
     return Model.of(samples)
 
 

@@ -364,6 +364,21 @@ def test_language_id(spark, docs, empty):
     assert {r.lang_pred for r in language_id.predict(docs, language_id.train(corpus.limit(0))).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("short", ["12 34 !", "ok"])
+def test_language_id_learns_from_long_texts(spark, short):
+    """A language of long documents and a few tiny ones, next to one of short documents."""
+    from sparsewright.llm import language_id
+
+    rng = random.Random(8)
+    syllables = {"aa": ["ka", "mo", "ti", "ru"], "bb": ["sch", "ein", "ung", "ö"]}
+    say = lambda lang, n: " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    rows = [(i, say("aa", 40), "aa") for i in range(100)] + [(i, "0 1 2 " * 300 + say("bb", 300), "bb") for i in range(100, 130)] + [(i, short, "bb") for i in range(130, 136)]
+    corpus = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(corpus, train_chars=1500, sample_docs=20)
+    got = by_id(language_id.predict(corpus, model))
+    assert np.mean([got[i].lang_pred == ("aa" if i < 100 else "bb") for i in range(130)]) > 0.97
+
+
 def test_cross_parsing_counts():
     from sparsewright.llm.language_id import BLOCK, Model, clean
 
