@@ -332,3 +332,28 @@ def test_bucket_neighbours_recall(spark, dims, k):
     true, got = ({(r.query, r.neighbor) for r in f.collect()} for f in (knn(v, k=k), knn_buckets(v, v, k)))
     assert len(got) == 900 * k and len(got & true) >= 0.9 * len(true)
     assert dims != 5 or k != 20 or got != true
+
+
+def test_residuals_of_features_outside_the_fitted_cells(spark):
+    from sparsewright.matrix import bundle
+    from sparsewright.operators.residuals import corrected_counts, depth, fit_parameters, pearson, residual_variance, smoothed
+
+    rng = np.random.default_rng(5)
+    x = rng.poisson(rng.uniform(0.2, 4, 12)[:, None] * rng.uniform(0.5, 2, 80)[None]).astype(float)
+    cells = spark.createDataFrame([(j,) for j in range(80)], "cell int")
+    table = lambda a: spark.createDataFrame([(f"g{i}", int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))], "feature string, cell int, value double")
+    kept = {r.cell for r in depth(bundle(table(x), cells)).orderBy(F.xxhash64("cell"), "cell").limit(30).collect()}
+    rare = np.zeros((1, 80))
+    rare[0, [j for j in range(80) if j not in kept][0]] = 3
+    m = bundle(table(np.vstack([x, rare])), cells)
+    p = smoothed(fit_parameters(m, fit_cells=30))
+    got = {r.feature: r for r in p.collect()}
+    assert set(got) == {f"g{i}" for i in range(13)}
+    assert all(got[f"g{i}"].mean == pytest.approx(v.mean()) for i, v in enumerate(np.vstack([x, rare])))
+    r = got["g12"]
+    middle = np.mean([d.depth for d in depth(m).collect()])
+    assert 0.5 < np.exp(r.intercept + r.slope * middle) / r.mean < 2 and 0 < r.theta <= 1e6
+    residuals = pearson(m, p)
+    assert residuals.filter("feature = 'g12'").count() == 80 and residuals.filter("isnan(value) or value is null").count() == 0
+    assert residual_variance(residuals).filter("feature = 'g12'").count() == 1
+    assert corrected_counts(m, p, pearson(m, p, clip=100.0)).filter("feature = 'g12'").count() > 0
