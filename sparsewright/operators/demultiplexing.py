@@ -50,15 +50,30 @@ def classify_tags(values: DataFrame, cells: DataFrame, cutoffs: DataFrame) -> Da
     return out.select("cell", "n_tags", kind.alias("classification"), F.col("a.feature").alias("max_tag"), F.col("b.feature").alias("second_tag"), (F.col("a.value") - F.col("b.value")).alias("margin"))
 
 
-def density_threshold(x: np.ndarray, q: float) -> float:
-    """Point at share q between the lowest large mode and the highest mode of a kernel density; infinite with one mode."""
-    x = x[np.isfinite(x)]
-    sd = min(x.std(ddof=1), (np.quantile(x, 0.75) - np.quantile(x, 0.25)) / 1.34 or np.inf) if len(x) > 1 else 0
+def density_threshold(x: np.ndarray, q: float, count: np.ndarray | None = None) -> float:
+    """Point at share q between the lowest large mode and the highest mode of a kernel density; infinite with one mode. ``count`` tells how often each value occurs."""
+    count = np.ones(len(x), dtype=np.int64) if count is None else count
+    some = np.isfinite(x)
+    order = np.argsort(x[some], kind="stable")
+    x, count = x[some][order], count[some][order]
+    n, upto = int(count.sum()), np.cumsum(count)
+
+    def quantile(share: float) -> float:
+        at = share * (n - 1)
+        low, high = x[np.searchsorted(upto, [np.floor(at), np.ceil(at)], side="right")]
+        return low + (high - low) * (at - np.floor(at))
+
+    sd = 0
+    if n > 1:
+        mean = (x * count).sum() / n
+        sd = min(np.sqrt((count * (x - mean) ** 2).sum() / (n - 1)), (quantile(0.75) - quantile(0.25)) / 1.34 or np.inf)
     if not sd or not np.isfinite(sd):
         return float("inf")
-    h = 0.9 * sd * len(x) ** -0.2
+    h = 0.9 * sd * n**-0.2
     grid = np.linspace(x.min() - 3 * h, x.max() + 3 * h, 256)
-    y = np.exp(-0.5 * ((grid[:, None] - x[None]) / h) ** 2).sum(axis=1)
+    y = np.zeros(len(grid))
+    for lo in range(0, len(x), 16384):
+        y += np.exp(-0.5 * ((grid[:, None] - x[None, lo : lo + 16384]) / h) ** 2) @ count[lo : lo + 16384]
     modes = np.flatnonzero((y[1:-1] > y[:-2]) & (y[1:-1] >= y[2:])) + 1
     if len(modes) < 2:
         return float("inf")
@@ -77,12 +92,11 @@ def multiseq(m: Matrix, quantile: float = 0.7) -> DataFrame:
     kind = m.features.schema["feature"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"feature": pdf["feature"].iloc[:1], "cutoff": [density_threshold(pdf["value"].to_numpy(), quantile)]})
+        return pd.DataFrame({"feature": pdf["feature"].iloc[:1], "cutoff": [density_threshold(pdf["value"].to_numpy(), quantile, pdf["count"].to_numpy())]})
 
-    # a tag's cells are one group: as many values as there are cells; thresholds come from at most 100,000 of them, by hash
-    n = m.n_cells
-    few = x.dense() if n <= 100_000 else x.dense().filter(F.pmod(F.xxhash64("cell"), F.lit(n)) < 100_000)
-    return classify_tags(x.values, m.cells, few.groupBy("feature").applyInPandas(run, f"feature {kind}, cutoff double"))
+    # all cells count; a tag's group has a row for each different value
+    counted = x.dense().groupBy("feature", "value").count()
+    return classify_tags(x.values, m.cells, counted.groupBy("feature").applyInPandas(run, f"feature {kind}, cutoff double"))
 
 
 def perturbation_signature(values: DataFrame, neighbors: DataFrame) -> DataFrame:
@@ -94,9 +108,8 @@ def perturbation_signature(values: DataFrame, neighbors: DataFrame) -> DataFrame
     return means.join(own, ["cell", "feature"], "full").select("cell", "feature", (F.coalesce("control", F.lit(0.0)) - F.coalesce("value", F.lit(0.0))).alias("value"))
 
 
-def two_normals(x: np.ndarray, control: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """Posterior of the second component of a normal mixture whose first has the control's mean and deviation."""
-    mu0, sd0 = control.mean(), max(control.std(ddof=1), 1e-6) if len(control) > 1 else 1.0
+def two_normals(x: np.ndarray, mu0: float, sd0: float, rounds: int = 200) -> np.ndarray:
+    """Posterior of the second component of a normal mixture whose first has the control's mean and deviation (mu0, sd0)."""
     mu1, sd1, share = np.quantile(x, 0.9), max(x.std(), 1e-6), 0.5
     normal = lambda v, mu, sd: np.exp(-0.5 * ((v - mu) / sd) ** 2) / sd
     post = np.full(len(x), 0.5)
@@ -116,13 +129,13 @@ def two_normals(x: np.ndarray, control: np.ndarray, rounds: int = 200) -> np.nda
 
 def mixscape(scores: DataFrame, control: str, least: int = 5) -> DataFrame:
     """(cell, target, posterior, class) from (cell, target, score): perturbed if the posterior passes one half."""
-    held = scores.filter(F.col("target") == control).select("score").orderBy(F.xxhash64("score"), "score").limit(100_000).toPandas()["score"].to_numpy()
-    ref = scores.sparkSession.sparkContext.broadcast(held)
+    mean, sd = scores.filter(F.col("target") == control).agg(F.avg("score"), F.stddev_samp("score")).first()
+    mean, sd = float("nan") if mean is None else mean, 1.0 if sd is None else max(sd, 1e-6)
     kind = scores.schema["cell"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf["score"].to_numpy()
-        post = two_normals(x, ref.value) if len(x) >= least else np.zeros(len(x))
+        post = two_normals(x, mean, sd) if len(x) >= least else np.zeros(len(x))
         return pd.DataFrame({"cell": pdf["cell"], "target": pdf["target"], "posterior": post, "class": np.where(post > 0.5, "perturbed", "not perturbed")})
 
     rest = scores.filter(F.col("target") != control).groupBy("target").applyInPandas(run, f"cell {kind}, target string, posterior double, class string")

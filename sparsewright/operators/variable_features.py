@@ -44,17 +44,13 @@ def ranked(rows: DataFrame, by: str, limit: int | None = None) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(by), "feature")))
 
 
-#: Up to so many points the trend is fitted at each; beyond, at as many of their quantiles, with lines between.
-FIT_POINTS = 400
-
-
 def loess_quadratic(x: np.ndarray, y: np.ndarray, span: float = 0.3) -> np.ndarray:
     """Local quadratic fit with tricube weights, at all x."""
     n = len(x)
     k = min(n, max(3, int(np.ceil(span * n))))
     order = np.argsort(x, kind="stable")
     xs, ys = x[order], y[order]
-    at = xs if n <= FIT_POINTS else np.unique(np.quantile(xs, np.linspace(0, 1, FIT_POINTS)))
+    at = np.unique(xs)
     fitted = np.empty(len(at))
     low = 0
     for i, centre in enumerate(at):

@@ -357,3 +357,35 @@ def test_residuals_of_features_outside_the_fitted_cells(spark):
     assert residuals.filter("feature = 'g12'").count() == 80 and residuals.filter("isnan(value) or value is null").count() == 0
     assert residual_variance(residuals).filter("feature = 'g12'").count() == 1
     assert corrected_counts(m, p, pearson(m, p, clip=100.0)).filter("feature = 'g12'").count() > 0
+
+
+def test_densities_and_trend_use_all_values():
+    from sparsewright.operators.demultiplexing import density_threshold
+    from sparsewright.operators.variable_features import loess_quadratic
+
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.poisson(2, 3000), rng.poisson(60, 900)]).astype(float)
+    value, count = np.unique(x, return_counts=True)
+    assert density_threshold(value, 0.7, count) == pytest.approx(density_threshold(x, 0.7))
+    # one local fit at each point, however many
+    x = np.sort(rng.uniform(0, 1, 900))
+    y = np.sin(12 * x) + rng.normal(0, 0.3, 900)
+    got = loess_quadratic(x, y, 0.05)
+    for i in range(0, 900, 50):
+        d = np.abs(x - x[i])
+        near = np.argsort(d, kind="stable")[:45]
+        w = (1 - (d[near] / d[near].max()) ** 3) ** 1.5
+        design = np.column_stack([np.ones(45), x[near] - x[i], (x[near] - x[i]) ** 2]) * w[:, None]
+        assert got[i] == pytest.approx(np.linalg.lstsq(design, y[near] * w, rcond=None)[0][0], abs=1e-9)
+
+
+def test_mixscape_uses_all_controls(spark):
+    from sparsewright.operators.demultiplexing import mixscape, two_normals
+
+    score = np.arange(100_200) % 1000 / 500.0
+    score[-200:] = 40.0
+    v = spark.createDataFrame(pd.DataFrame({"cell": np.arange(100_200), "target": "NT", "score": score}))
+    few = [float(i) for i in range(1, 9)]
+    got = mixscape(v.unionByName(spark.createDataFrame([(-i, "t", x) for i, x in enumerate(few, 1)], "cell long, target string, score double")), "NT")
+    post = [r.posterior for r in got.filter("target = 't'").orderBy(F.desc("cell")).collect()]
+    assert np.allclose(post, two_normals(np.array(few), score.mean(), score.std(ddof=1)))
