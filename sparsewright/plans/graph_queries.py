@@ -300,7 +300,7 @@ def _(spark, sf_dir):
 @query("jackstraw")
 def _(spark, sf_dir):
     v = embedding_table(spark, sf_dir).select("cell", "vector")
-    return spark.createDataFrame(reduction.jackstraw(v, 3, 3))
+    return spark.createDataFrame(reduction.jackstraw(v, 20, 100))
 
 
 @query("leverage_scores")

@@ -256,7 +256,7 @@ def _(spark, sf_dir):
 @query("significant_features")
 def _(spark, sf_dir):
     v = embedding_table(spark, sf_dir).select("cell", "vector")
-    return rounded(reduction.significant_features(spark.createDataFrame(reduction.jackstraw(v, 3, 3)), [0, 1]))
+    return rounded(reduction.significant_features(spark.createDataFrame(reduction.jackstraw(v, 20, 100)), [0, 1]))
 
 
 @query("independent_components")

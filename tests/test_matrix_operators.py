@@ -389,3 +389,26 @@ def test_mixscape_uses_all_controls(spark):
     got = mixscape(v.unionByName(spark.createDataFrame([(-i, "t", x) for i, x in enumerate(few, 1)], "cell long, target string, score double")), "NT")
     post = [r.posterior for r in got.filter("target = 't'").orderBy(F.desc("cell")).collect()]
     assert np.allclose(post, two_normals(np.array(few), score.mean(), score.std(ddof=1)))
+
+
+def test_jackstraw_queries_ask_for_the_reference_replicates(monkeypatch):
+    import __spark_entry__
+    from sparsewright.operators import reduction
+
+    asked = []
+
+    def stop(v, k, replicates):
+        asked.append((k, replicates))
+        raise KeyError("asked")
+
+    class Spark:
+        def __getattr__(self, name):
+            return lambda *a, **b: self
+
+    monkeypatch.setattr(reduction, "jackstraw", stop)
+    for module in ("graph_queries", "more_queries"):
+        monkeypatch.setattr(f"sparsewright.plans.{module}.embedding_table", lambda *a: Spark())
+    for name in ("jackstraw", "significant_features"):
+        with pytest.raises(KeyError, match="asked"):
+            __spark_entry__.queries()[name].__wrapped__(Spark(), "") if hasattr(__spark_entry__.queries()[name], "__wrapped__") else __import__("sparsewright.plans.graph_queries", fromlist=["QUERIES"]).QUERIES[name](Spark(), "")
+    assert asked == [(20, 100), (20, 100)]
