@@ -34,6 +34,7 @@ def ship(spark: SparkSession) -> None:
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         # rows can be long texts: Spark's default count would make large batches
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     _shipped.add(sc.applicationId)
 
 
