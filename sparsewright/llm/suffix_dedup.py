@@ -397,10 +397,13 @@ def _shard(folder: str):
             # runs of suffixes that share a whole window
             begin = np.flatnonzero(np.append(True, common[1:] < unit.length))
             least, greatest = np.minimum.reduceat(low[order], begin), np.maximum.reduceat(high[order], begin)
-            found[order, column] = (least != greatest)[np.cumsum(np.append(False, common[1:] < unit.length))]
+            run_of = np.cumsum(np.append(False, common[1:] < unit.length))
+            found[order, column] = (least != greatest)[run_of]
             if salted:
-                inside = valid[order[begin], column]
-                leads.append((order[begin][inside], np.full(int(inside.sum()), column), least[inside], greatest[inside]))
+                # one window of each run, and all of a run that is not repeated in this salt
+                sent = np.append(True, run_of[1:] != run_of[:-1]) | ~found[order, column]
+                sent &= valid[order, column]
+                leads.append((order[sent], np.full(int(sent.sum()), column), least[run_of[sent]], greatest[run_of[sent]]))
         bits = np.packbits(found & valid, axis=1)[context]
         windows: list[list | None] = [None] * len(rows)
         if salted:
@@ -441,7 +444,7 @@ def repeated_windows(chunks: DataFrame, shard_contexts: int = SHARD_CONTEXTS) ->
     window = "array<struct<digest: binary, at: bigint, least: bigint, greatest: bigint>>"
     found = cut(contexts.groupBy("a", "b").applyInArrow(_shard(folder), f"a long, b int, unit int, chunk string, places binary, bits binary, windows {window}"), "windows")
     salted = found.filter("b >= 0").select("a", "b", "chunk", F.explode("windows").alias("w")).select("a", "b", "chunk", "w.*")
-    twice = salted.groupBy("a", "digest").agg(F.min("least").alias("x"), F.max("greatest").alias("y")).filter("x <> y").select("a", "digest")
+    twice = salted.groupBy("a", "digest").agg(F.min(F.least("least", "greatest")).alias("x"), F.max(F.greatest("least", "greatest")).alias("y")).filter("x <> y").select("a", "digest")
     more = salted.join(twice, ["a", "digest"]).groupBy("a", "b", "chunk").agg(F.collect_list("at").alias("more"))
     return found.drop("windows").join(more, ["a", "b", "chunk"], "left").drop("a", "b")
 
