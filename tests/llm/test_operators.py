@@ -97,7 +97,7 @@ def test_repeated_rows_are_repeats(spark, docs, texts):
 
     long = texts[10]
     huge = " ".join(f"w{i}" for i in range(60_000))  # a slice of its own
-    rows = by_id(removals(spark.createDataFrame([(1, huge), (2, huge + " " + long), (3, long)], "doc_id long, text string, chunk string")))
+    rows = by_id(removals(spark.createDataFrame([(1, huge, "x"), (2, huge + " " + long, None), (3, long, "x")], "doc_id long, text string, chunk string")))
     assert [(r.n_removed, r.n_shared_words) for r in (rows[1], rows[3])] == [(len(huge), 60_000), (len(long.encode()), len(long.split()))]
     rows = removals(spark.createDataFrame([(1, long), (1, long), (None, "short")], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.n_bytes - r.n_removed) for r in rows) == [(0, 5), (1, 0), (1, 0)]
