@@ -2,51 +2,47 @@
 
 The exact test is a Burrows-Wheeler construction in rounds over many short
 documents (the contexts below), by columns from the right. A round inserts one
-symbol of every context before its suffix: the last segment of the transform
-holds those symbols in the order of their suffixes, a stable sort by symbol
-gives the next order, and neighbours' common prefixes are one more than the
-least common prefix between their tails (none for different symbols). Segments
-of order and common prefixes are appended to one external file in the cluster's
-shared folder, read back in sequence for the verdicts. Symbols count as marked
-with their column, so suffixes of different columns do not interleave, and a
-round adds a segment to the file instead of rewriting all of it.
-
-Two units go through the same construction:
-
-* bytes: strings of ``BYTES.length`` that start at two places or more (the removal);
-* words: strings of ``WORDS.length`` words that stand in two documents or more
-  (passages of over 50 words, which can be shorter than 400 bytes); they are
-  counted in ``n_shared_words`` and change nothing else.
-
-Which contexts meet. Every window has an anchor: the place of the least hash
-among its strings of half its length, the last one of equals. Equal windows
-have equal anchor strings, at equal places in the window. So
-
-1. texts go in chunks (written once, packed, with their anchors); strings of
-   anchors are counted over all chunks, one row a chunk and bucket of hashes,
-   so a string that fills the table is one entry a chunk;
-2. around each anchor whose string occurs twice or more, the symbols that its
-   windows can cover are a context, aligned at the anchor; equal contexts of a
-   chunk are one, with the least and greatest key of their places (documents);
+symbol of every context before its suffix: the transform's last segment holds
+those symbols in the order of their suffixes, a stable sort by symbol gives the
+next order, and neighbours' common prefixes are one more than the least common
+prefix between their tails (none for different symbols). Segments of order and
+common prefixes are appended to one external file in the cluster's shared
+folder, read back in sequence for the verdicts. Symbols count as marked with
+their column, so suffixes of different columns do not interleave, and a round
+adds a segment to the file instead of rewriting all of it.
+
+Which contexts meet. Every ``LENGTH``-byte window has an anchor: the place of
+the least hash among its ``GRAM``-byte strings, the last one of equals. Equal
+windows have equal anchor strings, at equal places in the window. So
+
+1. anchors of all texts are counted by their string's hash over the whole table;
+2. around each anchor whose string occurs twice or more, the bytes that its
+   windows can cover are a context, aligned at the anchor; equal contexts are
+   one with a count (counted in the map task first);
 3. contexts are dealt by their anchor's string and go through the construction;
-   a window is repeated if the suffixes that share all its symbols have
-   different keys.
-
-A string with more than ``shard_contexts`` places is salted by the contexts'
-content; of equal windows in a salt one leads, and the leading windows of all
-salts meet by 128-bit hashes.
-
-Cases: a null text is empty; texts shorter than the window lose nothing;
-repeated rows repeat each other's windows; ids may be null or shared (no step is
-keyed by them); an empty table gives an empty result; further columns of any
-name are not read.
+   a window is repeated if its suffix shares ``LENGTH`` bytes with a neighbour,
+   or if its context occurs twice.
+
+A string's contexts are one shard up to ``SHARD_CONTEXTS``. Beyond, they are
+salted; of equal windows in a salted shard one leads, and the leading windows
+of all salts meet by their hashes.
+
+Passages of over 50 words can be shorter than 400 bytes. ``n_shared_strings``
+tells of them and changes nothing else: any 51 words have an anchor string of
+26 words, and the column counts those of the text that another row's text has.
+It is not 0 wherever 51 words in a row stand in another row too, and 0 where no
+26 words do.
+
+Cases: a null text is empty; texts shorter than ``LENGTH`` bytes lose nothing;
+repeated rows repeat each other's windows; ids may be null or shared; an empty
+table gives an empty result; further columns are kept by ``rewrite``'s callers
+through the text alone.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -56,44 +52,25 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparsewright.llm.vec import NON_SPACE, U64, Slice, group_sum, mix, powers, prefix_hash, slices, span_hash, texts_of
+from sparsewright.llm.vec import NON_SPACE, U64, Slice, mix, powers, prefix_hash, slices, span_hash, texts_of
 from sparsewright.plans.scratch import cut, shared_dir
 
-
-class Unit(NamedTuple):
-    """Strings of ``length`` symbols, anchored by strings of ``gram`` symbols."""
-
-    tag: int
-    length: int
-    gram: int
-    symbol: str
-
-    @property
-    def span(self) -> int:
-        """Windows that one anchor can serve."""
-        return self.length - self.gram + 1
-
-    @property
-    def width(self) -> int:
-        """Columns of a context: span - 1 symbols before the anchor and ``length`` from it on."""
-        return self.span - 1 + self.length
-
-    @property
-    def record(self) -> int:
-        """Bytes of a stored context: symbols before the anchor and in all, and the aligned symbols."""
-        return 4 + self.width * np.dtype(self.symbol).itemsize
-
-
-BYTES = Unit(0, 400, 200, "u1")
-WORDS = Unit(1, 51, 26, "<u4")
-UNITS = (BYTES, WORDS)
-LENGTH = BYTES.length
-CHUNK = 4 << 20
-#: Places of anchors that a bucket and a shard are sized for.
-BUCKET_ANCHORS = 200_000
-SHARD_PLACES = 6_000
-#: Places of one string beyond which its contexts are salted.
+LENGTH = 400
+GRAM = 200
+#: Windows that one anchor can serve.
+SPAN = LENGTH - GRAM + 1
+#: Columns of a context: SPAN - 1 bytes before the anchor and LENGTH from it on.
+WIDTH = SPAN - 1 + LENGTH
 SHARD_CONTEXTS = 40_000
+#: Strings at most that are broadcast to meet their rows.
+HOT = 1000
+#: Contexts that a shard of many strings is sized for.
+COMMON_SHARD = 3000
+#: Words of a passage, and of the strings that tell of it.
+PASSAGE, STRING = 51, 26
+#: Strings that a bucket of their counting is sized for.
+BUCKET_STRINGS = 200_000
+_PAD = 256
 _PLACE_BITS = 24
 
 
@@ -118,182 +95,126 @@ def _windows(first: np.ndarray, length: int) -> np.ndarray:
     return np.repeat(first[:-1] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(int(n.sum()))
 
 
-def _word_hashes(held: Slice) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words, first word of each text and the end)."""
-    begin, end, first = held.words(NON_SPACE)
-    return span_hash(prefix_hash(held.buf), begin, end), first
-
-
-def anchors(held: Slice, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, hash, first): places of all windows' anchors in order, their strings' hashes, and every text's first word (of bytes: place)."""
-    none = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U64)
-    if unit is BYTES:
-        n = len(held.buf) - unit.gram
-        # texts and the separators between them are runs; the latter are shorter than any window
-        starts = _windows(np.column_stack([held.at, held.at + held.size]).ravel(), unit.length)
-        if n <= 0 or not len(starts):
-            return *none, held.at
-        sums = prefix_hash(held.buf)
-        at = np.arange(n)
-        h = span_hash(sums, at, at + unit.gram)
-    else:
-        each, first = _word_hashes(held)
-        n = len(each) - unit.gram + 1
-        starts = _windows(first, unit.length)
-        if n <= 0 or not len(starts):
-            return *none, first
-        up, down = powers(len(each) + 1)
-        sums = np.zeros(len(each) + 1, dtype=U64)
-        np.cumsum(each * up[: len(each)], out=sums[1:])
-        h = mix((sums[unit.gram :] - sums[:n]) * down[:n])
-    place = _least(h, starts, unit.span)
-    # the lowest bit names the unit
-    return place, (h[place] & ~U64(1)) | U64(unit.tag), held.at if unit is BYTES else first
-
-
-def _binary(rows) -> pa.Array:
-    return pa.array([np.ascontiguousarray(r).tobytes() for r in rows], pa.binary())
+def anchors(held: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash): places in the buffer of all windows' anchors, in order, and their strings' hashes."""
+    # texts and the separators between them are runs; the latter are shorter than any window
+    starts = _windows(np.column_stack([held.at, held.at + held.size]).ravel(), LENGTH) if held.n else np.zeros(0, dtype=np.int64)
+    if not len(starts):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U64)
+    sums = prefix_hash(held.buf)
+    at = np.arange(len(held.buf) - GRAM)
+    h = span_hash(sums, at, at + GRAM)
+    place = _least(h, starts, SPAN)
+    return place, h[place]
 
 
-def _chunk_rows(batches):
-    """A row a chunk of texts: ids, sizes, packed texts, and anchors of both units as (string, place)."""
+def word_strings(held: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the anchor strings of all runs of ``PASSAGE`` words, each of a text once."""
+    begin, end, first = held.words(NON_SPACE)
+    starts = _windows(first, PASSAGE)
+    if not len(starts):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U64)
+    each = span_hash(prefix_hash(held.buf), begin, end)
+    up, down = powers(len(each) + 1)
+    sums = np.zeros(len(each) + 1, dtype=U64)
+    np.cumsum(each * up[: len(each)], out=sums[1:])
+    n = len(each) - STRING + 1
+    h = mix((sums[STRING:] - sums[:n]) * down[:n])
+    place = _least(h, starts, PASSAGE - STRING + 1)
+    found = np.unique(np.column_stack([(np.searchsorted(first, place, side="right") - 1).astype(U64), h[place]]), axis=0)
+    return found[:, 0].astype(np.int64), np.ascontiguousarray(found[:, 1])
+
+
+def row_key(text: bytes, doc_id) -> int:
+    """Number of a row; rows with equal id and text have one."""
+    k = xxhash.xxh3_64_intdigest(text, seed=xxhash.xxh3_64_intdigest(repr(doc_id).encode()))
+    return k - (1 << 64) if k >> 63 else k
+
+
+def _anchor_rows(batches):
+    """(gram, rid, place, more): a row for each anchor string of a slice; ``more`` packs its further (rid, place) pairs, so a string that fills a slice is one row."""
+    for batch in batches:
+        for part in slices(batch):
+            texts = texts_of(part.column(1))
+            held = Slice(texts)
+            place, h = anchors(held)
+            doc = np.searchsorted(held.at, place, side="right") - 1
+            rid = np.array([row_key(t.as_py(), i.as_py()) for t, i in zip(texts, part.column(0), strict=True)], dtype=np.int64)
+            order = np.argsort(h, kind="stable")
+            h, pairs = h[order], np.column_stack([rid[doc], place - held.at[doc]])[order]
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+            last = np.append(first[1:], len(h))[: len(first)]
+            more = [None if e - b == 1 else pairs[b + 1 : e].tobytes() for b, e in zip(first.tolist(), last.tolist(), strict=True)]
+            yield pa.record_batch([pa.array(h[first].view(np.int64)), pa.array(np.ascontiguousarray(pairs[first, 0])), pa.array(np.ascontiguousarray(pairs[first, 1])), pa.array(more, pa.binary())], ["gram", "rid", "place", "more"])
+
+
+def _unpacked(batches):
+    """(gram, rid, place) of all of ``_anchor_rows``; of a row's places with one string, a list."""
+    for batch in batches:
+        gram, rid, place = (batch.column(i).to_numpy() for i in range(3))
+        pairs = [np.column_stack([rid, place])]
+        grams = [gram]
+        for i in np.flatnonzero(batch.column(3).is_valid().to_numpy(zero_copy_only=False)).tolist():
+            x = np.frombuffer(batch.column(3)[i].as_py(), dtype=np.int64).reshape(-1, 2)
+            pairs.append(x)
+            grams.append(np.full(len(x), gram[i]))
+        grams, pairs = np.concatenate(grams), np.concatenate(pairs)
+        order = np.lexsort((pairs[:, 0], grams))
+        grams, pairs = grams[order], pairs[order]
+        first = np.flatnonzero(np.append(True, (grams[1:] != grams[:-1]) | (pairs[1:, 0] != pairs[:-1, 0]))[: len(grams)])
+        last = np.append(first[1:], len(grams))[: len(first)]
+        yield pa.record_batch([pa.array(grams[first]), pa.array(np.ascontiguousarray(pairs[first, 0])), pa.array([pairs[b:e, 1].tobytes() for b, e in zip(first.tolist(), last.tolist(), strict=True)], pa.binary())], ["gram", "rid", "places"])
+
+
+def _packed_rows(batches):
     packer = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        for chunk in slices(batch, CHUNK):
-            found: dict[Unit, list] = {u: [] for u in UNITS}
-            sizes, words, at = [], [np.zeros(1, dtype=np.int64)], 0
-            for part in slices(chunk):
-                held = Slice(texts_of(part.column(1)))
-                for u in UNITS:
-                    place, string, first = anchors(held, u)
-                    found[u].append((string, place + (at if u is BYTES else words[-1][-1])))
-                words.append(first[1:] + words[-1][-1])
-                sizes.append(held.size)
-                at += len(held.buf)
-            texts = texts_of(chunk.column(1)).to_pylist()
-            ids = chunk.column(0)
-            columns = [np.concatenate(x) for u in UNITS for x in zip(*found[u], strict=True)]
-            packed = packer.compress(b"\n".join(texts) + b"\n")
-            yield pa.record_batch([pa.array([uuid.uuid4().hex]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(_binary([x]) for x in (np.concatenate(sizes), np.concatenate(words), *columns)), pa.array([packed], pa.binary())], ["chunk", "ids", "sizes", "words", "strings0", "places0", "strings1", "places1", "packed"])
-
-
-def _bucket_rows(buckets: int):
-    def run(batches):
-        """(bucket, chunk, strings, n): a chunk's distinct anchor strings by bucket of their hash, with their places (documents) in the chunk."""
-        for batch in batches:
-            for chunk, words, *columns in zip(*(batch.column(c) for c in ("chunk", "words", "strings0", "strings1", "places1")), strict=True):
-                strings0, strings1, places1 = (np.frombuffer(c.as_py(), dtype=d) for c, d in zip(columns, (U64, U64, np.int64), strict=True))
-                doc = np.searchsorted(np.frombuffer(words.as_py(), dtype=np.int64), places1, side="right")
-                pairs = np.unique(np.column_stack([strings1, doc.astype(U64)]), axis=0)[:, 0] if len(doc) else strings1
-                string, n = np.unique(np.concatenate([strings0, pairs]), return_counts=True)
-                bucket = ((string >> U64(20)) % U64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                bucket, string, n = bucket[order], string[order], n[order].astype(np.int64)
-                cut_at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
-                parts = [np.split(x, cut_at[1:]) if len(cut_at) else [] for x in (string, n)]
-                yield pa.record_batch([pa.array(bucket[cut_at]), pa.array([chunk.as_py()] * len(cut_at), pa.string()), _binary(parts[0]), _binary(parts[1])], ["bucket", "chunk", "strings", "n"])
+        for part in slices(batch):
+            texts = texts_of(part.column(1)).to_pylist()
+            rid = [row_key(t, i) for t, i in zip(texts, part.column(0).to_pylist(), strict=True)]
+            yield pa.record_batch([part.column(0), pa.array(rid, pa.int64()), pa.array([packer.compress(t) for t in texts], pa.binary())], ["doc_id", "rid", "packed"])
 
-    return run
 
+def _context_rows(batches):
+    """Of (rid, packed, grams and places): distinct contexts with counts, and every row's places of each context."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    held: dict[bytes, list] = {}
+    size = 0
+    names = ["ctx", "gram", "bytes", "before", "n", "rid", "places"]
 
-def _often(table: pa.Table) -> pa.Table:
-    """Of a bucket: each chunk's strings with two places (documents) or more over all chunks, and how many."""
-    strings = [np.frombuffer(x, dtype=U64) for x in table.column("strings").to_pylist()]
-    n = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in table.column("n").to_pylist()])
-    size = np.array([len(x) for x in strings])
-    _, inverse = np.unique(np.concatenate(strings), return_inverse=True)
-    total = np.bincount(inverse, weights=n).astype(np.int64)[inverse]
-    keep = [t >= 2 for t in np.split(total, np.cumsum(size)[:-1])]
-    totals = [t[k] for t, k in zip(np.split(total, np.cumsum(size)[:-1]), keep, strict=True)]
-    held = np.array([bool(k.any()) for k in keep])
-    out = pa.table({"chunk": table.column("chunk"), "strings": _binary([s[k] for s, k in zip(strings, keep, strict=True)]), "total": _binary(totals), "places": pa.array([int(np.frombuffer(x, dtype=np.int64)[k].sum()) for x, k in zip(table.column("n").to_pylist(), keep, strict=True)], pa.int64())})
-    return out.filter(pa.array(held))
-
-
-def _records(unit: Unit, buf: np.ndarray, low: np.ndarray, high: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Stored contexts of anchors at ``place`` in runs [low, high) of symbols: a (n x record) byte matrix."""
-    out = np.zeros((len(place), unit.record), dtype=np.uint8)
-    begin, end = np.maximum(low, place - unit.span + 1), np.minimum(high, place + unit.length)
-    out[:, :4] = np.column_stack([place - begin, end - begin]).astype("<u2").view(np.uint8).reshape(len(place), 4)
-    column = np.arange(1 - unit.span, unit.length)
-    for a in range(0, len(place), 2048):
-        at = place[a : a + 2048, None] + column
-        inside = (at >= begin[a : a + 2048, None]) & (at < end[a : a + 2048, None])
-        symbols = np.where(inside, buf[np.clip(at, 0, len(buf) - 1)], 0).astype(unit.symbol)
-        out[a : a + 2048, 4:] = symbols.view(np.uint8).reshape(len(symbols), -1)
-    return out
-
-
-def _distinct(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first row of each distinct record, number of each row's record)."""
-    rows = np.ascontiguousarray(records).view(np.dtype((np.void, records.shape[1]))).ravel()
-    _, first, inverse = np.unique(rows, return_index=True, return_inverse=True)
-    return first, inverse
-
-
-def _context_rows(shards: int, shard_contexts: int):
-    def run(batches):
-        """Rows (a, b, unit, chunk, records, keys, places): a chunk's distinct contexts by shard, and which place has which."""
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for chunk, sizes, words, packed, often, *columns in zip(*(batch.column(c) for c in ("chunk", "sizes", "words", "packed", "often", "strings0", "places0", "strings1", "places1")), strict=True):
-                chunk, often = chunk.as_py(), often.as_py()
-                known = np.concatenate([np.frombuffer(o["strings"], dtype=U64) for o in often])
-                totals = np.concatenate([np.frombuffer(o["total"], dtype=np.int64) for o in often])
-                order = np.argsort(known)
-                known, totals = known[order], totals[order]
-                buf = np.frombuffer(unpack(packed.as_py()), dtype=np.uint8)
-                sizes, words = (np.frombuffer(x.as_py(), dtype=np.int64) for x in (sizes, words))
-                at = np.append(0, np.cumsum(sizes + 1)[:-1])
-                seed = U64(int(chunk[:16], 16))
-                for u in UNITS:
-                    string, place = (np.frombuffer(x.as_py(), dtype=d) for x, d in zip(columns[2 * u.tag : 2 * u.tag + 2], (U64, np.int64), strict=True))
-                    hit = np.searchsorted(known, string)
-                    kept = known[np.minimum(hit, len(known) - 1)] == string
-                    string, place, total = string[kept], place[kept], totals[hit[kept]]
-                    if not len(place):
-                        continue
-                    if u is BYTES:
-                        doc = np.searchsorted(at, place, side="right") - 1
-                        records = _records(u, buf, at[doc], at[doc] + sizes[doc], place)
-                        key = mix(seed + place.astype(U64))
-                    else:
-                        doc = np.searchsorted(words, place, side="right") - 1
-                        some = np.unique(doc)
-                        each = [_word_hashes(Slice(pa.array([buf[at[d] : at[d] + sizes[d]].tobytes()])))[0] for d in some.tolist()]
-                        moved = np.append(0, np.cumsum([len(x) for x in each]))
-                        one = np.searchsorted(some, doc)
-                        low = moved[one]
-                        records = _records(u, np.concatenate(each).astype(u.symbol), low, moved[one + 1], place - words[doc] + low)
-                        key = mix(seed + doc.astype(U64))
-                    first, context = _distinct(records)
-                    least, greatest = key[first].copy(), key[first].copy()
-                    np.minimum.at(least, context, key)
-                    np.maximum.at(greatest, context, key)
-                    records, string, total = records[first], string[first], total[first]
-                    a = (mix(string) % U64(shards)).astype(np.int64) * 2 + u.tag
-                    b = np.full(len(first), -1, dtype=np.int32)
-                    for i in np.flatnonzero(total > shard_contexts).tolist():
-                        a[i] = string[i].astype(np.int64)
-                        b[i] = xxhash.xxh3_64_intdigest(records[i].tobytes()) % -(-int(total[i]) // shard_contexts)
-                    dealt = np.lexsort((b, a))
-                    fresh = np.append(True, (a[dealt][1:] != a[dealt][:-1]) | (b[dealt][1:] != b[dealt][:-1]))
-                    part = np.cumsum(fresh) - 1
-                    begins = np.append(np.flatnonzero(fresh), len(dealt))
-                    number = np.empty(len(dealt), dtype=np.int64)
-                    number[dealt] = np.arange(len(dealt)) - begins[part]
-                    of = np.empty(len(dealt), dtype=np.int64)
-                    of[dealt] = part
-                    by = np.argsort(of[context], kind="stable")
-                    ends = np.searchsorted(of[context][by], np.arange(len(begins)))
-                    groups = [dealt[x:y] for x, y in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
-                    spots = [by[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                    yield pa.record_batch([
-                        pa.array(a[dealt[begins[:-1]]]), pa.array(b[dealt[begins[:-1]]]), pa.array([u.tag] * len(groups), pa.int32()), pa.array([chunk] * len(groups), pa.string()),
-                        _binary(records[g] for g in groups), _binary(np.column_stack([least[g], greatest[g]]) for g in groups), _binary(np.column_stack([place[s], number[context[s]]]) for s in spots),
-                    ], ["a", "b", "unit", "chunk", "records", "keys", "places"])
+    def flush():
+        rows = list(held.items())
+        held.clear()
+        n = len(rows)
+        return pa.record_batch([pa.array([k for k, _ in rows], pa.binary()), pa.array([v[0] for _, v in rows], pa.int64()), pa.array([v[1] for _, v in rows], pa.binary()), pa.array([v[2] for _, v in rows], pa.int32()), pa.array([v[3] for _, v in rows], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
 
-    return run
+    for batch in batches:
+        ctxs, rids, places = [], [], []
+        for rid, packed, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            text = unpack(packed.as_py())
+            own: dict[bytes, list] = {}
+            for one in found.as_py():
+                for at in np.unique(np.frombuffer(one["places"], dtype=np.int64)).tolist():
+                    low = max(0, at - SPAN + 1)
+                    piece = text[low : at + LENGTH]
+                    before = at - low
+                    ctx = xxhash.xxh3_128_digest(piece, seed=before)
+                    if ctx not in held:
+                        held[ctx] = [one["gram"], piece, before, 0]
+                        size += len(piece)
+                    held[ctx][3] += 1
+                    own.setdefault(ctx, []).append(at)
+            ctxs += own
+            rids += [rid] * len(own)
+            places += [np.array(x, dtype=np.int64).tobytes() for x in own.values()]
+            if size > 24 << 20:
+                yield flush()
+                size = 0
+        n = len(ctxs)
+        if n:
+            yield pa.record_batch([pa.array(ctxs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(rids, pa.int64()), pa.array(places, pa.binary())], names)
+    if held:
+        yield flush()
 
 
 class Rounds:
@@ -359,151 +280,219 @@ class Rounds:
             self.files.delete_file(self.path)
 
 
-def _aligned(unit: Unit, records: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
-    """(symbols, pad, valid): contexts aligned at their anchors, and the windows that lie inside them."""
-    before, size = np.ascontiguousarray(records[:, :4]).view("<u2").astype(np.int64).T
-    symbols = np.ascontiguousarray(records[:, 4:]).view(unit.symbol)
-    if unit is BYTES:
-        symbols, pad = symbols.astype(np.uint16), 256
-    else:
-        known, symbols = np.unique(symbols, return_inverse=True)
-        pad = len(known)
-        symbols = symbols.reshape(len(records), unit.width).astype(np.uint16 if pad < 65_535 else np.uint32)
-    low = (unit.span - 1 - before)[:, None]
-    column = np.arange(unit.width)
-    symbols[(column < low) | (column >= low + size[:, None])] = pad
-    column = column[: unit.span]
-    return symbols, pad, (column >= low) & (column + unit.length <= low + size[:, None])
-
+def _matrix(pieces: list[bytes], before: np.ndarray, ahead: int, width: int) -> np.ndarray:
+    """Contexts aligned so that their anchors stand in column ``ahead``."""
+    symbols = np.full((len(pieces), width), _PAD, dtype=np.uint16)
+    for row, (piece, b) in enumerate(zip(pieces, before.tolist(), strict=True)):
+        symbols[row, ahead - b : ahead - b + len(piece)] = np.frombuffer(piece, dtype=np.uint8)
+    return symbols
 
-def _shard(folder: str):
-    def run(table: pa.Table) -> pa.Table:
-        """Of a shard's contexts: which of their windows are repeated, as bits over columns; of salted ones also a digest and the keys of one window of all that are equal."""
-        unit, salted = UNITS[table.column("unit")[0].as_py()], table.column("b")[0].as_py() >= 0
-        rows = [np.frombuffer(x, dtype=np.uint8).reshape(-1, unit.record) for x in table.column("records").to_pylist()]
-        ends = np.cumsum([len(r) for r in rows])
-        records = np.concatenate(rows)
-        keys = np.concatenate([np.frombuffer(x, dtype=U64).reshape(-1, 2) for x in table.column("keys").to_pylist()])
-        first, context = _distinct(records)
-        low, high = keys[first, 0].copy(), keys[first, 1].copy()
-        np.minimum.at(low, context, keys[:, 0])
-        np.maximum.at(high, context, keys[:, 1])
-        symbols, pad, valid = _aligned(unit, records[first])
-        found = np.zeros(valid.shape, dtype=bool)
-        leads = []
-        for column, order, common in Rounds(symbols, pad, folder).segments():
-            if column >= unit.span:
-                continue
-            # runs of suffixes that share a whole window
-            begin = np.flatnonzero(np.append(True, common[1:] < unit.length))
-            least, greatest = np.minimum.reduceat(low[order], begin), np.maximum.reduceat(high[order], begin)
-            run_of = np.cumsum(np.append(False, common[1:] < unit.length))
-            found[order, column] = (least != greatest)[run_of]
-            if salted:
-                # one window of each run, and all of a run that is not repeated in this salt
-                sent = np.append(True, run_of[1:] != run_of[:-1]) | ~found[order, column]
-                sent &= valid[order, column]
-                leads.append((order[sent], np.full(int(sent.sum()), column), least[run_of[sent]], greatest[run_of[sent]]))
-        bits = np.packbits(found & valid, axis=1)[context]
-        windows: list[list | None] = [None] * len(rows)
-        if salted:
-            windows = [[] for _ in rows]
-            lead, column, least, greatest = (np.concatenate(x) for x in zip(*leads, strict=True))
-            at = first[lead]
-            row = np.searchsorted(ends, at, side="right")
-            number = at - np.append(0, ends)[row]
-            size = np.dtype(unit.symbol).itemsize
-            for r, n, i, c, x, y in zip(row.tolist(), number.tolist(), at.tolist(), column.tolist(), least.view(np.int64).tolist(), greatest.view(np.int64).tolist(), strict=True):
-                windows[r].append({"digest": xxhash.xxh3_128_digest(records[i, 4 + c * size : 4 + (c + unit.length) * size].tobytes(), seed=c), "at": n * unit.span + c, "least": x, "greatest": y})
-        out = pa.table({"a": table.column("a"), "b": table.column("b"), "unit": table.column("unit"), "chunk": table.column("chunk"), "places": table.column("places"), "bits": _binary(np.split(bits, ends[:-1])), "windows": pa.array(windows, _WINDOWS)})
-        return out if salted else out.filter(pa.array([bool(x.any()) for x in np.split(bits, ends[:-1])]))
 
-    return run
+def repeated(rounds: Rounds, first: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two (contexts x first columns) tables: the suffix shares ``length`` symbols with another; it is the first of those that do."""
+    m = len(rounds.order)
+    out, lead = np.zeros((m, first), dtype=bool), np.zeros((m, first), dtype=bool)
+    for column, order, common in rounds.segments():
+        if column < first:
+            long = common >= length
+            out[order, column] = long | np.append(long[1:], False)
+            lead[order, column] = ~long
+    return out, lead
 
 
-_WINDOWS = pa.list_(pa.struct([("digest", pa.binary()), ("at", pa.int64()), ("least", pa.int64()), ("greatest", pa.int64())]))
+def _shard(folder: str):
+    return lambda table: _verdicts(table, folder)
+
+
+def _verdicts(table: pa.Table, folder: str) -> pa.Table:
+    """Of a shard's contexts: which of their windows are repeated, as bits over columns; ``lead`` bits mark one window of all that are equal."""
+    first: dict[bytes, int] = {}
+    count: list[int] = []
+    keep = []
+    for row, (ctx, n) in enumerate(zip(table.column("ctx").to_pylist(), table.column("n").to_pylist(), strict=True)):
+        if ctx in first:
+            count[first[ctx]] += n
+        else:
+            first[ctx] = len(count)
+            count.append(n)
+            keep.append(row)
+    table = table.take(pa.array(keep))
+    pieces, before = table.column("bytes").to_pylist(), table.column("before").to_numpy()
+    sizes = np.array([len(p) for p in pieces])
+    found, lead = repeated(Rounds(_matrix(pieces, before, SPAN - 1, WIDTH), _PAD, folder), SPAN, LENGTH)
+    column = np.arange(SPAN)
+    low = (SPAN - 1 - before)[:, None]
+    valid = (column >= low) & (column + LENGTH <= low + sizes[:, None])
+    found |= (np.array(count) >= 2)[:, None]
+    found &= valid
+    pack = lambda x: [r.tobytes() for r in np.packbits(x, axis=1)]
+    return pa.table({"ctx": table.column("ctx"), "found": pa.array(pack(found), pa.binary()), "lead": pa.array(pack(valid & lead), pa.binary())})
+
+
+def _window_rows(batches):
+    """Of (ctx, bytes, before, lead): the leading windows, by the hash of their bytes and column."""
+    for batch in batches:
+        ctxs, columns, digests = [], [], []
+        for ctx, piece, before, lead in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            start = SPAN - 1 - before
+            for c in np.flatnonzero(np.unpackbits(np.frombuffer(lead, dtype=np.uint8))[:SPAN]).tolist():
+                ctxs.append(ctx)
+                columns.append(c)
+                digests.append(xxhash.xxh3_128_digest(piece[c - start : c - start + LENGTH], seed=c))
+        yield pa.record_batch([pa.array(ctxs, pa.binary()), pa.array(columns, pa.int32()), pa.array(digests, pa.binary())], ["ctx", "column", "window"])
+
+
+def _bits(batches):
+    """(ctx, found) from (ctx, columns)."""
+    for batch in batches:
+        out = np.zeros((batch.num_rows, SPAN), dtype=bool)
+        for i, columns in enumerate(batch.column(1).to_pylist()):
+            out[i, columns] = True
+        yield pa.record_batch([batch.column(0), pa.array([r.tobytes() for r in np.packbits(out, axis=1)], pa.binary())], ["ctx", "found"])
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """The written table of chunks."""
+def repeated_windows(docs: DataFrame, shard_contexts: int = SHARD_CONTEXTS) -> tuple[DataFrame, DataFrame]:
+    """(places, found): (ctx, rid, places) of the anchors, and (ctx, found) bits of the windows that are repeated."""
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return cut(docs.mapInArrow(_chunk_rows, f"chunk string, ids array<{kind}>, sizes binary, words binary, strings0 binary, places0 binary, strings1 binary, places1 binary, packed binary"), "chunks")
-
-
-def repeated_windows(chunks: DataFrame, shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
-    """(chunk, unit, places, bits, more): of each chunk's contexts their places, bits of their repeated windows, and further windows found across salts."""
-    size = F.length("strings0") + F.length("strings1")
-    buckets = max(8, (chunks.agg(F.sum(size)).first()[0] or 0) // 8 // BUCKET_ANCHORS)
-    dealt = chunks.select("chunk", "words", "strings0", "strings1", "places1").mapInArrow(_bucket_rows(buckets), "bucket int, chunk string, strings binary, n binary")
-    often = cut(dealt.groupBy("bucket").applyInArrow(_often, "chunk string, strings binary, total binary, places long"), "often")
-    shards = max(8, (often.agg(F.sum("places")).first()[0] or 0) // min(SHARD_PLACES, shard_contexts))
-    per_chunk = often.groupBy("chunk").agg(F.collect_list(F.struct("strings", "total")).alias("often"))
-    contexts = chunks.join(per_chunk, "chunk").mapInArrow(_context_rows(shards, shard_contexts), "a long, b int, unit int, chunk string, records binary, keys binary, places binary")
-    folder = f"{shared_dir(chunks.sparkSession)}/sparsewright"
-    window = "array<struct<digest: binary, at: bigint, least: bigint, greatest: bigint>>"
-    found = cut(contexts.groupBy("a", "b").applyInArrow(_shard(folder), f"a long, b int, unit int, chunk string, places binary, bits binary, windows {window}"), "windows")
-    salted = found.filter("b >= 0").select("a", "b", "chunk", F.explode("windows").alias("w")).select("a", "b", "chunk", "w.*")
-    twice = salted.groupBy("a", "digest").agg(F.min(F.least("least", "greatest")).alias("x"), F.max(F.greatest("least", "greatest")).alias("y")).filter("x <> y").select("a", "digest")
-    more = salted.join(twice, ["a", "digest"]).groupBy("a", "b", "chunk").agg(F.collect_list("at").alias("more"))
-    return found.drop("windows").join(more, ["a", "b", "chunk"], "left").drop("a", "b")
-
-
-def _starts(unit: Unit, marks: list) -> np.ndarray:
-    """Starts in the chunk, in order, of the unit's repeated windows."""
-    out = [np.zeros(0, dtype=np.int64)]
-    for m in marks:
-        if m["unit"] != unit.tag:
-            continue
-        place, number = np.frombuffer(m["places"], dtype=np.int64).reshape(-1, 2).T
-        found = np.unpackbits(np.frombuffer(m["bits"], dtype=np.uint8).reshape(-1, -(-unit.span // 8)), axis=1)[:, : unit.span].astype(bool)
-        if m["more"]:
-            found.ravel()[np.array(m["more"])] = True
-        row, column = np.nonzero(found[number])
-        out.append(place[row] + column - (unit.span - 1))
-    return np.unique(np.concatenate(out))
+    every = cut(docs.mapInArrow(_anchor_rows, "gram long, rid long, place long, more binary"), "anchors")
+    often = every.groupBy("gram").agg(F.sum(F.lit(1) + F.coalesce(F.length("more") / 16, F.lit(0))).alias("n"), F.count(F.lit(1)).alias("m")).filter("n >= 2")
+    # a string with more than one row in HOT of all is one of HOT at most: these meet their rows by broadcast, all others by a join
+    bound = every.count() // HOT + 1
+    often = cut(often.select("gram", (F.col("m") > bound).alias("hot")), "often")
+    hot = F.broadcast(often.filter("hot").select("gram"))
+    found = every.join(hot, "gram", "left_anti").join(often.filter("not hot").select("gram"), "gram").unionAll(every.join(hot, "gram")).mapInArrow(_unpacked, "gram long, rid long, places binary")
+    per_row = found.groupBy("rid").agg(F.collect_list(F.struct("gram", "places")).alias("found"))
+    packed = docs.mapInArrow(_packed_rows, f"doc_id {kind}, rid long, packed binary").select("rid", "packed")
+    rows = cut(packed.join(per_row, "rid").select("rid", "packed", "found").mapInArrow(_context_rows, "ctx binary, gram long, bytes binary, before int, n long, rid long, places binary"), "contexts")
+    contexts, places = rows.filter(F.col("bytes").isNotNull()).drop("rid", "places"), rows.filter(F.col("bytes").isNull()).select("ctx", "rid", "places")
+    sizes = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("m"))
+    total = contexts.count()
+    shards = max(8, total // min(COMMON_SHARD, shard_contexts))
+    hot = sizes.filter(F.col("m") > shard_contexts)
+    salted = contexts.join(hot, "gram", "left").withColumn("salts", F.coalesce(F.ceil(F.col("m") / shard_contexts), F.lit(1)).cast("int"))
+    salt = F.pmod(F.xxhash64("ctx"), F.col("salts")).cast("int")
+    # a hot string's salts are shards of their own
+    shard = F.struct(F.when(F.col("salts") > 1, F.col("gram")).otherwise(F.pmod(F.xxhash64("gram"), F.lit(shards))).alias("a"), F.when(F.col("salts") > 1, salt).otherwise(-1).alias("b"))
+    dealt = salted.select(shard.alias("shard"), "ctx", "bytes", "before", "n", "salts")
+    found = cut(dealt.select("shard", "ctx", "bytes", "before", "n").groupBy("shard").applyInArrow(_shard(f"{shared_dir(docs.sparkSession)}/sparsewright"), "ctx binary, found binary, lead binary"), "windows")
+    if hot.isEmpty():
+        return places, found.select("ctx", "found")
+    # salts of one string: their leading windows meet by hash
+    rest = dealt.filter("salts > 1").select("ctx", "bytes", "before").join(found.select("ctx", "lead"), "ctx").dropDuplicates(["ctx"])
+    windows = cut(rest.select("ctx", "bytes", "before", "lead").mapInArrow(_window_rows, "ctx binary, column int, window binary"), "windows")
+    twice = windows.groupBy("window").count().filter("count >= 2").select("window")
+    more = windows.join(twice, "window").groupBy("ctx").agg(F.collect_set("column").alias("columns")).mapInArrow(_bits, "ctx binary, found binary")
+    return places, found.select("ctx", "found").unionAll(more)
 
 
 def _finish(batches):
-    """Of a chunk and its marks: a row a document."""
+    """Of (doc_id, packed, marks, n_shared_strings): the digest columns, the removed spans and the last."""
     unpack = zstandard.ZstdDecompressor().decompress
+    none = np.zeros(0, dtype=np.int64)
+    for batch in batches:
+        out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "begins", "ends")}
+        for packed, marks in zip(batch.column(1), batch.column(2), strict=True):
+            text = unpack(packed.as_py())
+            begin, end = removed_spans(len(text), marks.as_py()) if marks.is_valid else (none, none)
+            kept, last, view = hashlib.sha256(), 0, memoryview(text)
+            for b, e in zip(begin.tolist(), end.tolist(), strict=True):
+                kept.update(view[last:b])
+                last = e
+            kept.update(view[last:])
+            out["n_bytes"].append(len(text))
+            out["n_removed"].append(int((end - begin).sum()))
+            out["n_spans"].append(len(begin))
+            out["kept_sha256"].append(kept.hexdigest())
+            out["begins"].append(begin)
+            out["ends"].append(end)
+        yield pa.record_batch([batch.column(0), *(pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept_sha256"], pa.string()), pa.array(out["begins"], pa.list_(pa.int64())), pa.array(out["ends"], pa.list_(pa.int64())), batch.column(3)], ["doc_id", *out, "n_shared_strings"])
+
+
+def _binary(rows) -> pa.Array:
+    return pa.array([np.ascontiguousarray(r).tobytes() for r in rows], pa.binary())
+
+
+def _string_rows(batches):
+    """A row a batch: its rows' keys, and (string, row) pairs."""
+    for batch in batches:
+        strings, rows, keys = [], [], []
+        for part in slices(batch):
+            texts = texts_of(part.column(1))
+            text, h = word_strings(Slice(texts))
+            strings.append(h)
+            rows.append((text + len(keys)).astype(np.uint32))
+            keys += [row_key(t, i) for t, i in zip(texts.to_pylist(), part.column(0).to_pylist(), strict=True)]
+        if strings:
+            yield pa.record_batch([pa.array([uuid.uuid4().hex]), *(_binary([x]) for x in (np.array(keys, dtype=np.int64), np.concatenate(strings), np.concatenate(rows)))], ["batch", "keys", "strings", "rows"])
+
+
+def _bucket_rows(buckets: int):
+    def run(batches):
+        """(bucket, batch, strings, n): a batch's distinct strings by bucket of their hash, with the number of its rows that have each."""
+        for batch in batches:
+            for name, strings in zip(batch.column("batch").to_pylist(), batch.column("strings").to_pylist(), strict=True):
+                string, n = np.unique(np.frombuffer(strings, dtype=U64), return_counts=True)
+                bucket = ((string >> U64(20)) % U64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                begin = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)[: len(bucket)])
+                parts = [np.split(x[order], begin[1:]) if len(begin) else [] for x in (string, n.astype(np.int32))]
+                yield pa.record_batch([pa.array(bucket[order][begin]), pa.array([name] * len(begin), pa.string()), _binary(parts[0]), _binary(parts[1])], ["bucket", "batch", "strings", "n"])
+
+    return run
+
+
+def _often(table: pa.Table) -> pa.Table:
+    """Of a bucket: each batch's strings that two rows or more of all batches have."""
+    strings = [np.frombuffer(x, dtype=U64) for x in table.column("strings").to_pylist()]
+    n = np.concatenate([np.frombuffer(x, dtype=np.int32) for x in table.column("n").to_pylist()])
+    _, inverse = np.unique(np.concatenate(strings), return_inverse=True)
+    twice = np.split((np.bincount(inverse, weights=n) >= 2)[inverse], np.cumsum([len(s) for s in strings])[:-1])
+    return pa.table({"batch": table.column("batch"), "strings": _binary([s[k] for s, k in zip(strings, twice, strict=True)])}).filter(pa.array([bool(k.any()) for k in twice]))
+
+
+def _shared_rows(batches):
+    """(rid, n_shared_strings) of the rows of a batch that have some."""
     for batch in batches:
-        for ids, sizes, words, packed, marks in zip(*(batch.column(c) for c in ("ids", "sizes", "words", "packed", "marks")), strict=True):
-            text = memoryview(unpack(packed.as_py()))
-            sizes, words = (np.frombuffer(x.as_py(), dtype=np.int64) for x in (sizes, words))
-            at = np.append(0, np.cumsum(sizes + 1)[:-1])
-            marks = marks.as_py() or []
-            start = _starts(BYTES, marks)
-            # windows that touch or overlap are one run; a separator parts those of two texts
-            apart = np.flatnonzero(np.diff(start) > LENGTH)
-            begin, end = start[np.append(0, apart + 1)[: len(start)]], start[np.append(apart, len(start) - 1)[: len(start)]] + LENGTH
-            runs = np.searchsorted(begin, np.append(at, len(text)))
-            edge = np.zeros(int(words[-1]) + 1, dtype=np.int32)
-            passage = _starts(WORDS, marks)
-            np.add.at(edge, passage, 1)
-            np.add.at(edge, passage + WORDS.length, -1)
-            shared = group_sum((np.cumsum(edge[:-1]) > 0).astype(np.int64), words)
-            removed, kept, begins, ends = [], [], [], []
-            for i, (a, s) in enumerate(zip(at.tolist(), sizes.tolist(), strict=True)):
-                mine = slice(runs[i], runs[i + 1])
-                rest, last = hashlib.sha256(), a
-                for b, e in zip(begin[mine].tolist(), end[mine].tolist(), strict=True):
-                    rest.update(text[last:b])
-                    last = e
-                rest.update(text[last : a + s])
-                removed.append(int((end[mine] - begin[mine]).sum()))
-                kept.append(rest.hexdigest())
-                begins.append(begin[mine] - a)
-                ends.append(end[mine] - a)
-            yield pa.record_batch([ids.values, pa.array(sizes), pa.array(removed, pa.int64()), pa.array(np.diff(runs)), pa.array(kept, pa.string()), pa.array(begins, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(shared)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "begins", "ends", "n_shared_words"])
+        for keys, strings, rows, often in zip(*(batch.column(c).to_pylist() for c in ("keys", "strings", "rows", "often")), strict=True):
+            known = np.concatenate([np.frombuffer(x, dtype=U64) for x in often])
+            row = np.frombuffer(rows, dtype=np.uint32)[np.isin(np.frombuffer(strings, dtype=U64), known)]
+            some, n = np.unique(row, return_counts=True)
+            yield pa.record_batch([pa.array(np.frombuffer(keys, dtype=np.int64)[some]), pa.array(n)], ["rid", "n_shared_strings"])
+
+
+def shared_strings(docs: DataFrame) -> DataFrame:
+    """(rid, n_shared_strings) of the rows that have some. A string is one entry a batch and bucket, however many rows have it."""
+    held = cut(docs.select("doc_id", "text").mapInArrow(_string_rows, "batch string, keys binary, strings binary, rows binary"), "strings")
+    buckets = max(8, (held.agg(F.sum(F.length("strings"))).first()[0] or 0) // 8 // BUCKET_STRINGS)
+    dealt = held.select("batch", "strings").mapInArrow(_bucket_rows(buckets), "bucket int, batch string, strings binary, n binary")
+    often = dealt.groupBy("bucket").applyInArrow(_often, "batch string, strings binary").groupBy("batch").agg(F.collect_list("strings").alias("often"))
+    found = held.join(often, "batch").mapInArrow(_shared_rows, "rid long, n_shared_strings long")
+    return found.groupBy("rid").agg(F.max("n_shared_strings").alias("n_shared_strings"))
+
+
+def removed_spans(size: int, marks: list) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of the maximal removed runs of a text; marks: (places, bits) of its contexts."""
+    starts = [(np.frombuffer(m["places"], dtype=np.int64)[:, None] + np.flatnonzero(np.unpackbits(np.frombuffer(m["found"], dtype=np.uint8))[:SPAN]) - (SPAN - 1)).ravel() for m in marks]
+    start = np.concatenate(starts)
+    start = np.unique(start[(start >= 0) & (start + LENGTH <= size)])
+    if not len(start):
+        return start, start
+    # windows that touch or overlap are one run
+    apart = np.flatnonzero(np.diff(start) > LENGTH)
+    return start[np.append(0, apart + 1)], start[np.append(apart, len(start) - 1)] + LENGTH
 
 
 def removals(docs: DataFrame, shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, begins, ends, n_shared_words): removed byte spans of every text, and its words in passages that another document has."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, begins, ends, n_shared_strings): removed byte spans of every text, and its strings that tell of shared passages."""
+    docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    chunks = chunked(docs)
-    marks = repeated_windows(chunks, shard_contexts).groupBy("chunk").agg(F.collect_list(F.struct("unit", "places", "bits", "more")).alias("marks"))
-    return chunks.select("chunk", "ids", "sizes", "words", "packed").join(marks, "chunk", "left").mapInArrow(_finish, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, begins array<long>, ends array<long>, n_shared_words long")
+    places, found = repeated_windows(docs, shard_contexts)
+    empty = F.lit(bytes(-(-SPAN // 8)))
+    marks = places.join(found.filter(F.col("found") != empty), "ctx").groupBy("rid").agg(F.collect_list(F.struct("places", "found")).alias("marks"))
+    packed = docs.mapInArrow(_packed_rows, f"doc_id {kind}, rid long, packed binary")
+    rows = packed.join(marks, "rid", "left").join(shared_strings(docs), "rid", "left").select("doc_id", "packed", "marks", F.coalesce("n_shared_strings", F.lit(0)).cast("long").alias("n_shared_strings"))
+    return rows.mapInArrow(_finish, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, begins array<long>, ends array<long>, n_shared_strings long")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
