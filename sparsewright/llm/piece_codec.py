@@ -1,13 +1,18 @@
 """SentencePiece encoding with byte offsets, and decoding.
 
-Encoding has two parts. ``Normalizer`` does what the model's normaliser
+Encoding has three parts. ``Normalizer`` does what the model's normaliser
 specification says: at each place the longest key of the compiled character
 map (a double-array trie, stored in the model with its replacement strings) is
 replaced, white space is collapsed and escaped as the specification asks, and
 for every byte of the outcome the place in the original bytes is recorded.
-The library segments the text; its ids are the result. The pieces of the ids,
-laid end to end over the normalised bytes, are then projected through the
-alignment to byte spans of the original text.
+``Segmenter`` joins the normalised characters by the model's pieces and scores.
+The pieces, laid end to end over the normalised bytes, are then projected
+through the alignment to byte spans of the original text.
+
+Pair merging by pieces that never hold a space mark after another character
+cannot cross such a place, so runs of space marks with the characters up to the
+next one are segmented each, and frequent ones are kept. Models of other kinds
+(unigram, no byte pieces) are segmented by the library, as is their decoding.
 
 Cases: a null text is an empty text and has no ids; repeated rows are encoded
 each; a character outside the vocabulary becomes byte pieces or the unknown id,
@@ -19,6 +24,8 @@ gives an empty result; further columns are ignored by the query and kept by
 from __future__ import annotations
 
 import hashlib
+import heapq
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -173,14 +180,172 @@ class Normalizer:
         return bytes(out), np.array([*align, end], dtype=np.int64)
 
 
+MARK = SPACE_MARK.decode()
+_RUNS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+
+
+class Segmenter:
+    """Pieces of normalised text by pair merging: the best score first, the leftmost of equals; other characters become byte pieces.
+
+    ``usable`` tells whether the model is of this kind. Runs up to ``LONG``
+    characters are remembered, ``KEPT`` of them at most; new ones of a text are
+    merged together, one merge of each a round.
+    """
+
+    LONG, KEPT = 32, 400_000
+    _NORMAL, _BYTE, _PAIRS = 1, 6, 2
+
+    def __init__(self, model: bytes):
+        self.ids: dict[str, int] = {}
+        self.scores: dict[str, float] = {}
+        self.bytes: dict[int, int] = {}
+        #: Bytes that a piece stands for, the space mark as a space.
+        self.surface: list[bytes] = []
+        kind, kinds = 1, set()
+        for number, value in _fields(model):
+            if number == 1:
+                piece = dict(_fields(value))
+                text, sort = piece[1].decode(), piece.get(3, self._NORMAL)
+                kinds.add(sort)
+                if sort == self._NORMAL:
+                    self.ids[text] = len(self.surface)
+                    (self.scores[text],) = struct.unpack("<f", piece.get(2, bytes(4)))
+                elif sort == self._BYTE:
+                    self.bytes[int(text[3:5], 16)] = len(self.surface)
+                self.surface.append(bytes([int(text[3:5], 16)]) if sort == self._BYTE else text.replace(MARK, " ").encode() if sort == self._NORMAL else b"")
+            elif number == 2:
+                kind = dict(_fields(value)).get(3, 1)
+        inner = any(MARK in p.lstrip(MARK) for p in self.ids)
+        # 1 normal, 2 unknown, 3 control, 6 byte: no user-defined or unused pieces
+        self.usable = kind == self._PAIRS and len(self.bytes) == 256 and kinds <= {1, 2, 3, 6} and not inner
+        self.known: dict[str, bytes] = {}
+        self.decimal = [str(i) for i in range(len(self.surface))]
+
+    def merge(self, run: str) -> list[int]:
+        symbols: list[str] = list(run)
+        n, scores = len(symbols), self.scores
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = [(-scores[pair], i, pair) for i, pair in enumerate(map("".join, zip(symbols, symbols[1:]))) if pair in scores]
+        heapq.heapify(queue)
+        while queue:
+            _, i, pair = heapq.heappop(queue)
+            j = after[i]
+            if not symbols[i] or j >= n or symbols[i] + symbols[j] != pair:
+                continue
+            symbols[i], symbols[j] = pair, ""
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (more := pair + symbols[k]) in scores:
+                    heapq.heappush(queue, (-scores[more], i, more))
+            h = before[i]
+            if h >= 0 and (more := symbols[h] + pair) in scores:
+                heapq.heappush(queue, (-scores[more], h, more))
+        out: list[int] = []
+        for s in symbols:
+            if s:
+                one = self.ids.get(s)
+                out += [one] if one is not None else [self.bytes[b] for b in s.encode()]
+        return out
+
+    def _tables(self) -> None:
+        """Symbols' numbers, and (left, right) numbers of all merges with the rank of their score and the number they make."""
+        symbols = sorted(self.scores.keys() | {c for p in self.scores for c in p})
+        number = {s: i + 1 for i, s in enumerate(symbols)}
+        #: Number of a character by its code point; 0 for those without merges.
+        self.number = np.zeros(0x110000, dtype=np.int32)
+        for s, i in number.items():
+            if len(s) == 1:
+                self.number[ord(s)] = i
+        #: Id of a symbol by its number; -1 for those that are no piece.
+        self.id_of = np.array([-1, *(self.ids.get(s, -1) for s in symbols)], dtype="<i4")
+        rank = {s: i for i, s in enumerate(sorted(set(self.scores.values()), reverse=True))}
+        pairs = []
+        for piece, score in self.scores.items():
+            for k in range(1, len(piece)):
+                left, right = number.get(piece[:k]), number.get(piece[k:])
+                if left and right:
+                    pairs.append((left << 32 | right, rank[score], number[piece]))
+        self.pairs, self.ranks, self.made = (np.array(c, dtype=np.int64) for c in zip(*sorted(pairs), strict=True))
+
+    def _ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, number made) of symbol pairs; of pairs that do not merge, a rank beyond all."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        hit = self.pairs[at] == key
+        return np.where(hit, self.ranks[at], 1 << 40), self.made[at]
+
+    def merge_many(self, runs: list[str]) -> list[bytes]:
+        """Packed ids of runs of at most ``LONG`` characters."""
+        if not hasattr(self, "pairs"):
+            self._tables()
+        n, size = len(runs), np.array([len(r) for r in runs])
+        width = int(size.max())
+        column = np.arange(width + 1)
+        held = column < size[:, None]
+        symbols = np.zeros(held.shape, dtype=np.int64)
+        symbols[held] = self.number[np.frombuffer("".join(runs).encode("utf-32-le"), dtype="<u4")]
+        strange = ((symbols == 0) & held).any(axis=1)
+        follow = np.broadcast_to(column + 1, symbols.shape).copy()
+        prior = np.broadcast_to(column - 1, symbols.shape).copy()
+        none = 1 << 40
+        rank, made = self._ranked(symbols[:, :-1], symbols[:, 1:])
+        rank[column[:-1] >= size[:, None] - 1] = none
+        rows = np.arange(n)
+        while len(rows):
+            at = rank[rows].argmin(axis=1)
+            more = rank[rows, at] < none
+            rows, at = rows[more], at[more]
+            gone = follow[rows, at]
+            after = follow[rows, gone]
+            held[rows, gone] = False
+            symbols[rows, at] = now = made[rows, at]
+            follow[rows, at] = after
+            rank[rows, np.minimum(gone, width - 1)] = none
+            prior[rows, np.minimum(after, width)] = at
+            r, m = self._ranked(now, symbols[rows, np.minimum(after, width)])
+            rank[rows, at], made[rows, at] = np.where(after < size[rows], r, none), m
+            before = prior[rows, at]
+            left = before >= 0
+            some, place = rows[left], before[left]
+            rank[some, place], made[some, place] = self._ranked(symbols[some, place], now[left])
+        flat, ends = self.id_of[symbols[held]], np.cumsum(held.sum(axis=1))
+        strange |= np.minimum.reduceat(flat, np.append(0, ends[:-1])) < 0
+        packed, ends = flat.tobytes(), (4 * ends).tolist()
+        out = [packed[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        for i in np.flatnonzero(strange).tolist():
+            out[i] = self._packed(runs[i])
+        return out
+
+    def _packed(self, run: str) -> bytes:
+        return np.array(self.merge(run), dtype="<i4").tobytes()
+
+    def __call__(self, made: list[str]) -> Iterator[list[int]]:
+        """Ids of some texts; runs up to ``LONG`` characters are known from then on."""
+        runs = [_RUNS.findall(m) for m in made]
+        new = [r for r in set().union(*runs) - self.known.keys() if len(r) <= self.LONG]
+        if len(self.known) + len(new) > self.KEPT:
+            self.known.clear()
+            new = [r for r in set().union(*runs) if len(r) <= self.LONG]
+        # those of like length share a matrix
+        new.sort(key=len)
+        for a in range(0, len(new), 4096):
+            part = new[a : a + 4096]
+            self.known.update(zip(part, self.merge_many(part), strict=True))
+        known, other = self.known, self._packed
+        for found in runs:
+            yield np.frombuffer(b"".join([known.get(r) or other(r) for r in found]), dtype="<i4").tolist()
+
+
 class Codec:
-    """The library's processor for ids, and spans of the ids in the original bytes."""
+    """Ids of texts and texts of ids, and spans of the ids in the original bytes."""
 
     def __init__(self, model: bytes):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.normalize = Normalizer(model)
+        self.segment = Segmenter(model)
         n = self.model.get_piece_size()
         byte = np.array([self.model.is_byte(i) for i in range(n)])
         #: Bytes of the normalised text that an id covers; 0 for unknown, whose width the text tells.
@@ -188,26 +353,40 @@ class Codec:
         self.unknown = self.model.unk_id()
         self.width[self.unknown] = 0
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1, add_bos=False, add_eos=False)
-
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.model.decode(ids, num_threads=1)
-
-    def spans(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def pieces(self, texts: list[str]) -> Iterator[tuple[list[int], str, str, np.ndarray]]:
+        """(ids, the ids in decimal with commas, the decoded text, align) of each text; align as the normaliser gives it."""
+        normal = [self.normalize(t.encode()) for t in texts]
+        if self.segment.usable:
+            decimal = self.segment.decimal
+            for ids, (_, align) in zip(self.segment([m.decode() for m, _ in normal]), normal, strict=True):
+                yield ids, ",".join([decimal[i] for i in ids]), self.decode(ids), align
+            return
+        for text, (_, align) in zip(texts, normal, strict=True):
+            ids = self.model.encode(text, num_threads=1, add_bos=False, add_eos=False)
+            yield ids, ",".join(map(str, ids)), self.model.decode(ids, num_threads=1), align
+
+    def decode(self, ids: list[int]) -> str:
+        surface = self.segment.surface
+        if not self.segment.usable:
+            return self.model.decode(ids, num_threads=1)
+        back = b"".join([surface[i] for i in ids])
+        # the mark that the normaliser put before the text goes
+        return (back[1:] if self.normalize.prefix and back[:1] == b" " else back).decode(errors="replace")
+
+    def spans(self, text: str, ids: list[int], align: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(begin, end) bytes of the original text for each id."""
         if not ids:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        made, align = self.normalize(text.encode())
-        width = self.width[np.asarray(ids)]
-        if (np.asarray(ids) == self.unknown).any():
+        held = np.array(ids)
+        width = self.width[held]
+        if (held == self.unknown).any():
             width = self._with_unknown(text, ids)
         end = np.cumsum(width)
-        if end[-1] != len(made):
+        if end[-1] != len(align) - 1:
             raise ValueError("pieces do not cover the normalised text")
         begin = end - width
         # a piece ends where the next begins; bytes of one source character share its span
-        source = np.append(np.flatnonzero(np.diff(align)) + 1, len(made))
+        source = np.append(np.flatnonzero(np.diff(align)) + 1, len(align) - 1)
         last = align[source[np.searchsorted(source, end, side="left")]]
         return align[begin], last
 
@@ -243,9 +422,13 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(read_model(model_path))  # a model file: some MB, whatever the data
 
     def each(use: Codec, texts: list[str]):
-        ids = use.encode(texts)
-        spans = [use.spans(t, i) for t, i in zip(texts, ids, strict=True)]
-        return ids, [s[0] for s in spans], [s[1] for s in spans]
+        ids, begins, ends = [], [], []
+        for t, (found, _, _, align) in zip(texts, use.pieces(texts), strict=True):
+            begin, end = use.spans(t, found, align)
+            ids.append(found)
+            begins.append(begin)
+            ends.append(end)
+        return ids, begins, ends
 
     def run(batches):
         return _run(batches, held, each, ["ids", "begins", "ends"], [pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())])
@@ -263,12 +446,27 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
         use = codec(held.value)
         for batch in batches:
             ids = [x or [] for x in batch.column(batch.schema.get_field_index("ids")).to_pylist()]
-            yield pa.record_batch([*batch.columns, pa.array(use.decode(ids), pa.string())], [*batch.schema.names, "decoded"])
+            yield pa.record_batch([*batch.columns, pa.array([use.decode(i) for i in ids], pa.string())], [*batch.schema.names, "decoded"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, f"{kept}, decoded string")
 
 
+_DIGESTS = ["n_tokens", "ids_sha256", "decoded_sha256", "n_covered"]
+_DIGEST_TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64()]
+
+
+def _digest(use: Codec, texts: list[str]) -> list[list]:
+    """Columns ``_DIGESTS`` of some texts."""
+    rows = []
+    for t, (ids, decimal, back, align) in zip(texts, use.pieces(texts), strict=True):
+        begin, end = use.spans(t, ids, align)
+        # spans are in order; those of one character's byte pieces coincide
+        covered = int((end - np.maximum(begin, np.maximum.accumulate(np.append(0, end[:-1])))).clip(0).sum()) if ids else 0
+        rows.append((len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), covered))
+    return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in _DIGESTS]
+
+
 def digests(docs: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_covered): encode, align and decode in one pass, without shipping the ids.
 
@@ -277,19 +475,8 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
     """
     held = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
 
-    def each(use: Codec, texts: list[str]):
-        ids = use.encode(texts)
-        back = use.decode(ids)
-        covered = []
-        for t, i in zip(texts, ids, strict=True):
-            begin, end = use.spans(t, i)
-            # spans are in order; those of one character's byte pieces coincide
-            covered.append(int((end - np.maximum(begin, np.maximum.accumulate(np.append(0, end[:-1])))).clip(0).sum()) if len(end) else 0)
-        hexed = [hashlib.sha256(",".join(map(str, i)).encode()).hexdigest() for i in ids]
-        return [len(i) for i in ids], hexed, [hashlib.sha256(t.encode()).hexdigest() for t in back], covered
-
     def run(batches):
-        for out in _run(batches, held, each, ["n_tokens", "ids_sha256", "decoded_sha256", "n_covered"], [pa.int64(), pa.string(), pa.string(), pa.int64()]):
+        for out in _run(batches, held, _digest, _DIGESTS, _DIGEST_TYPES):
             yield out.drop_columns(["text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -307,20 +494,13 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: digests beside the documents' columns except the text; no document goes."""
+    """Pipeline stage: digests, the covered bytes and the text's digest beside the documents' columns; no document goes."""
     held = spark.sparkContext.broadcast(read_model(default_model()))
 
-    def each(use: Codec, texts: list[str]):
-        ids = use.encode(texts)
-        back = use.decode(ids)
-        hexed = [hashlib.sha256(",".join(map(str, i)).encode()).hexdigest() for i in ids]
-        return [len(i) for i in ids], hexed, [hashlib.sha256(t.encode()).hexdigest() for t in back]
-
     def run(batches):
-        return _run(batches, held, each, ["n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()])
+        return _run(batches, held, _digest, _DIGESTS, _DIGEST_TYPES)
 
     rows = packed(docs)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    out = rows.mapInArrow(run, f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    names = ("n_tokens", "ids_sha256", "decoded_sha256")
-    return restored(out, docs, extra={c: F.col(c) for c in names} | {"text_sha256": F.sha2(F.coalesce("text", F.lit("")), 256)})
+    out = rows.mapInArrow(run, f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_covered long")
+    return restored(out, docs, extra={c: F.col(c) for c in _DIGESTS} | {"text_sha256": F.sha2(F.coalesce("text", F.lit("")), 256)})

@@ -122,6 +122,23 @@ def test_piece_codec(docs, texts, empty):
     assert piece_codec.digests(empty, path).count() == 0
 
 
+def test_segmentation_equals_the_library():
+    from sparsewright.llm import piece_codec
+
+    use = piece_codec.codec(piece_codec.read_model(piece_codec.default_model()))
+    assert use.segment.usable
+    rng = random.Random(9)
+    alphabet = list(" ▁ab eé日本\t\n\r語xyz😀\x00\x01<s>ñß,.") + ["the", "ing", "   ", "\u200d", "ation"]
+    some = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(1500)] + ["z" * 5000, "", " ", "x" * 400_000]
+    use.segment.KEPT = 500  # forgets, and learns again
+    for a in range(0, len(some), 100):
+        part = some[a : a + 100]
+        for t, (ids, decimal, back, align) in zip(part, use.pieces(part), strict=True):
+            assert ids == use.model.encode(t) and decimal == ",".join(map(str, ids)) and back == use.decode(ids) == use.model.decode(ids)
+            begin, end = use.spans(t, ids, align)
+            assert (np.diff(begin) >= 0).all() and (not ids or (begin[0], end[-1]) == (0, len(t.encode())))
+
+
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc", "nmt_nfkc_cf", "identity"])
 @pytest.mark.parametrize("collapse", [True, False])
 def test_normaliser_follows_compiled_map(rule, collapse):
