@@ -10,9 +10,16 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Cells in a block of a dense row, and dense rows that a task spreads at once.
+BLOCK = 4096
+_ROWS = 64
+
 
 @dataclass(frozen=True)
 class Matrix:
@@ -42,10 +49,39 @@ class Matrix:
         kept = self.values.join(ids, "cell", "left_semi").select(*self.values.columns)
         return Matrix(kept, self.cells.join(ids, "cell", "left_semi"), self.features)
 
+    def cell_blocks(self, size: int = BLOCK) -> DataFrame:
+        """(block, cells): the cells in blocks of about ``size``, each in order."""
+        block = F.pmod(F.xxhash64("cell"), F.lit(max(1, -(-self.n_cells // size)))).cast("int")
+        return self.cells.groupBy(block.alias("block")).agg(F.sort_array(F.collect_list("cell")).alias("cells"))
+
     def dense(self) -> DataFrame:
-        """All (feature, cell) pairs with explicit zeros: only where an operator must densify."""
-        grid = self.features.select("feature").join(self.cells.select("cell"), how="cross")
-        return grid.join(self.values, ["feature", "cell"], "left").select("feature", "cell", F.coalesce("value", F.lit(0.0)).alias("value"))
+        """All (feature, cell) pairs with explicit zeros: only where an operator must densify.
+
+        A task writes whole blocks of cells for one feature at a time, so a pair
+        that is not stored never passes a shuffle.
+        """
+        blocks = self.cell_blocks()
+        n = max(1, -(-self.n_cells // BLOCK))
+        places = blocks.select("block", F.posexplode("cells").alias("place", "cell"))
+        stored = self.values.join(places, "cell").groupBy("feature", "block").agg(F.collect_list("place").alias("places"), F.collect_list("value").alias("values"))
+        grid = self.features.select("feature", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
+        rows = grid.join(stored, ["feature", "block"], "left").join(blocks, "block").select("feature", "cells", "places", "values")
+        kinds = {f.name: f.dataType.simpleString() for f in self.values.schema.fields}
+        return rows.mapInArrow(_spread, f"feature {kinds['feature']}, cell {kinds['cell']}, value double")
+
+
+def _spread(batches):
+    """(feature, cell, value) of (feature, cells, places, values): a row a cell, 0 where no value stands."""
+    for batch in batches:
+        for part in (batch.slice(a, _ROWS) for a in range(0, batch.num_rows, _ROWS)):
+            cells, places = part.column(1), part.column(2)
+            size = pc.list_value_length(cells).to_numpy(zero_copy_only=False)
+            held = pc.fill_null(pc.list_value_length(places), 0).to_numpy(zero_copy_only=False)
+            start = np.cumsum(size) - size
+            value = np.zeros(int(size.sum()))
+            value[np.repeat(start, held) + places.flatten().to_numpy()] = part.column(3).flatten().to_numpy()
+            row = pa.array(np.repeat(np.arange(part.num_rows), size))
+            yield pa.record_batch([part.column(0).take(row), cells.flatten(), pa.array(value)], ["feature", "cell", "value"])
 
 
 def bundle(values: DataFrame, cells: DataFrame | None = None, features: DataFrame | None = None, min_cells: int = 0, min_features: int = 0) -> Matrix:
