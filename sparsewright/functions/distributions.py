@@ -137,3 +137,25 @@ def logistic_loglik(y: np.ndarray, x: np.ndarray, rounds: int = 60) -> float:
             break
     eta = np.clip(x @ beta, -30, 30)
     return float((y * eta - np.logaddexp(0, eta)).sum())
+
+
+def negbinom_loglik_fixed(y: np.ndarray, x: np.ndarray, theta: float, rounds: int = 50) -> float:
+    """Log-likelihood, but for terms of y alone, of a log-linear negative binomial fit with a given theta."""
+    beta = np.linalg.lstsq(x, np.log(y + 0.1), rcond=None)[0]
+    for _ in range(rounds):
+        mu = np.exp(np.clip(x @ beta, -30, 30))
+        w = mu / (1 + mu / theta)
+        step = np.linalg.lstsq(x * np.sqrt(w)[:, None], (x @ beta + (y - mu) / mu) * np.sqrt(w), rcond=None)[0] - beta
+        beta = beta + step
+        if np.abs(step).max() < 1e-10:
+            break
+    mu = np.exp(np.clip(x @ beta, -30, 30))
+    return float((y * np.log(mu / (mu + theta)) + theta * np.log(theta / (mu + theta))).sum())
+
+
+def nested_negbinom_test(y: np.ndarray, common: np.ndarray, group: np.ndarray, theta: float) -> float:
+    """p of the group's effect beyond common factors, from the deviances of nested fits with one theta."""
+    null = np.column_stack([np.ones(len(y)), common])
+    full = np.column_stack([null, group])
+    gain = 2 * (negbinom_loglik_fixed(y, full, theta) - negbinom_loglik_fixed(y, null, theta))
+    return chi2_sf(max(0.0, gain), full.shape[1] - null.shape[1])

@@ -187,6 +187,72 @@ def glm_test(m: Matrix, groups: DataFrame, family: str = "poisson", min_cells: i
     return m.values.join(groups.select("cell"), "cell", "left_semi").groupBy("feature").applyInPandas(run, f"feature {kind}, p_val double")
 
 
+def hurdle(m: Matrix, groups: DataFrame) -> DataFrame:
+    """(feature, lrt, df, p_val): two-part test of a group effect, on whether a value is positive and on the positive values' mean.
+
+    Both parts are likelihood ratios in closed form, logistic and Gaussian; a part that a feature cannot inform adds no degree of freedom.
+    """
+    n1, n2 = checked_sizes(groups, 1)
+    rows = _positive_sums(m, groups)
+    k1, k2 = F.col("k1"), F.col("k2")
+
+    def binary(k: Column, n: int) -> Column:
+        share = k / n
+        return F.when((k > 0) & (k < n), k * F.log(share) + (n - k) * F.log(1 - share)).otherwise(0.0)
+
+    within = (F.col("q1") - F.coalesce(F.try_divide(F.col("s1") * F.col("s1"), k1), F.lit(0.0))) + (F.col("q2") - F.coalesce(F.try_divide(F.col("s2") * F.col("s2"), k2), F.lit(0.0)))
+    k, s = k1 + k2, F.col("s1") + F.col("s2")
+    whole = F.col("q1") + F.col("q2") - F.try_divide(s * s, k)
+    part = 2 * (binary(k1, n1) + binary(k2, n2) - binary(k, n1 + n2))
+    mixed = (k > 0) & (k < n1 + n2)
+    both = (k1 > 0) & (k2 > 0) & (within > 1e-9)
+    lrt = F.when(mixed, part).otherwise(0.0) + F.when(both, k * F.log(whole / F.when(both, within))).otherwise(0.0)
+    df = F.when(mixed, 1).otherwise(0) + F.when(both, 1).otherwise(0)
+    out = rows.select("feature", F.greatest(lrt, F.lit(0.0)).alias("lrt"), df.alias("df")).filter("df > 0")
+    return out.withColumn("p_val", _chi2_tail("lrt", F.col("df").cast("double")))
+
+
+def _positive_sums(m: Matrix, groups: DataFrame) -> DataFrame:
+    """(feature, k1, s1, q1, k2, s2, q2): numbers, sums and squares of the positive values of both groups."""
+    rows = m.values.filter("value > 0").join(groups, "cell")
+    one = lambda g, x: F.coalesce(F.sum(F.when(F.col("g") == g, x)), F.lit(0.0))
+    v = F.col("value")
+    return rows.groupBy("feature").agg(*(one(g, x).alias(f"{c}{g}") for g in (1, 2) for c, x in (("k", F.lit(1.0)), ("s", v), ("q", v * v))))
+
+
+def size_factors(m: Matrix) -> DataFrame:
+    """(cell, factor): median over features of the ratio to their geometric mean over all cells (zeros count as none in the mean), about 1 in geometric mean."""
+    n = float(m.n_cells)
+    positive = m.values.filter("value > 0")
+    means = positive.groupBy("feature").agg((F.sum(F.log("value")) / n).alias("g"))
+    raw = positive.join(means, "feature").groupBy("cell").agg(F.exp(F.percentile(F.log("value") - F.col("g"), 0.5)).alias("f"))
+    middle = raw.agg(F.exp(F.avg(F.log("f"))).alias("mid"))
+    return raw.join(F.broadcast(middle), how="cross").select("cell", (F.col("f") / F.col("mid")).alias("factor"))  # one row
+
+
+def count_wald(m: Matrix, groups: DataFrame) -> DataFrame:
+    """(feature, log2_fc, z, p_val): Wald test of a negative binomial group effect on counts over size factors.
+
+    The dispersion is the feature's own by moments (no shrinkage towards a
+    trend); features without counts in either group have no row.
+    """
+    n1, n2 = checked_sizes(groups, 2)
+    factors = size_factors(m)
+    inverse = factors.join(groups, "cell").agg(F.avg(1 / F.col("factor")).alias("inv"))
+    scaled = m.with_values(m.values.join(factors, "cell").select("feature", "cell", (F.col("value") / F.col("factor")).alias("value")))
+    rows = _positive_sums(scaled, groups).join(F.broadcast(inverse), how="cross")  # one row
+    mean = lambda g, n: F.col(f"s{g}") / n
+    spread = lambda g, n: (F.col(f"q{g}") - F.col(f"s{g}") * F.col(f"s{g}") / n)
+    pooled = (spread(1, n1) + spread(2, n2)) / (n1 + n2 - 2)
+    whole = (F.col("s1") + F.col("s2")) / (n1 + n2)
+    alpha = F.greatest((pooled - whole * F.col("inv")) / (whole * whole), F.lit(1e-8))
+    rows = rows.filter("s1 > 0 and s2 > 0").withColumn("alpha", alpha)
+    error = F.sqrt((F.col("inv") / mean(1, n1) + F.col("alpha")) / n1 + (F.col("inv") / mean(2, n2) + F.col("alpha")) / n2)
+    change = F.log(mean(1, n1) / mean(2, n2))
+    out = rows.select("feature", (change / F.log(F.lit(2.0))).alias("log2_fc"), (change / error).alias("z"))
+    return out.withColumn("p_val", normal_tail(F.col("z")))
+
+
 def find_markers(m: Matrix, column: str, first, second=None, test: str = "wilcox", min_pct: float = 0.01, min_diff_pct: float = -1.0, logfc_threshold: float = 0.1, only_pos: bool = False) -> DataFrame:
     """(feature, p_val, avg_log_fc, pct_1, pct_2, p_val_adj): prefiltered features, Bonferroni over all features of the matrix; the roc test has my_auc, avg_diff and power instead of p."""
     groups = two_groups(m, column, first, second)
@@ -195,7 +261,7 @@ def find_markers(m: Matrix, column: str, first, second=None, test: str = "wilcox
     high, low = F.greatest("pct_1", "pct_2"), F.least("pct_1", "pct_2")
     big = F.col("avg_log_fc") >= logfc_threshold if only_pos else F.abs("avg_log_fc") >= logfc_threshold
     kept = fc.filter((high >= min_pct) & (high - low >= min_diff_pct) & big)
-    tests = {"wilcox": wilcoxon, "t": welch_t, "bimod": bimod, "roc": roc, "poisson": lambda m, g: glm_test(m, g, "poisson"), "negbinom": lambda m, g: glm_test(m, g, "negbinom"), "LR": lambda m, g: glm_test(m, g, "logistic")}
+    tests = {"wilcox": wilcoxon, "t": welch_t, "bimod": bimod, "roc": roc, "hurdle": hurdle, "wald": lambda m, g: count_wald(m, g), "poisson": lambda m, g: glm_test(m, g, "poisson"), "negbinom": lambda m, g: glm_test(m, g, "negbinom"), "LR": lambda m, g: glm_test(m, g, "logistic")}
     if test not in tests:
         raise ValueError(f"unknown test: {test}")
     sub = m.select_features(kept)
