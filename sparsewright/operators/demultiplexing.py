@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparsewright.functions.distributions import negbinom_quantile, theta_moments
 from sparsewright.matrix import Matrix
+from sparsewright.plans.scratch import cut
 
 
 def tag_cutoffs(m: Matrix, clusters: DataFrame, quantile: float = 0.99) -> DataFrame:
@@ -140,3 +141,50 @@ def mixscape(scores: DataFrame, control: str, least: int = 5) -> DataFrame:
 
     rest = scores.filter(F.col("target") != control).groupBy("target").applyInPandas(run, f"cell {kind}, target string, posterior double, class string")
     return rest.unionByName(scores.filter(F.col("target") == control).select("cell", "target", F.lit(0.0).alias("posterior"), F.lit("control").alias("class")))
+
+
+def missing_signatures(values: DataFrame, neighbors: DataFrame, known: DataFrame, features: DataFrame) -> DataFrame:
+    """``known`` (cell, feature, value) signatures with those of requested features that it lacks."""
+    lacking = features.select("feature").distinct().join(known.select("feature").distinct(), "feature", "left_anti")
+    fresh = perturbation_signature(values.join(lacking, "feature", "left_semi"), neighbors)
+    return known.select("cell", "feature", "value").unionByName(fresh)
+
+
+def perturbation_markers(m: Matrix, column: str, target, control, cutoff: float = 0.05, logfc_threshold: float = 0.25) -> DataFrame:
+    """(feature, p_val_adj) of a target's cells against the controls, significant ones only."""
+    from sparsewright.operators.differential import find_markers
+
+    rows = find_markers(m, column, target, control, min_pct=0.1, logfc_threshold=logfc_threshold)
+    return rows.filter(F.col("p_val_adj") < cutoff).select("feature", "p_val_adj")
+
+
+def perturbation_space(m: Matrix, column: str, control, dims: int = 10, cutoff: float = 0.05, least: int = 5) -> DataFrame:
+    """(cell, vector): all cells in the components of every target that has enough markers, one after another.
+
+    A target's components are those of its own and the controls' cells over its
+    markers; all cells are projected. The loop is over targets.
+    """
+    from sparsewright.operators.reduction import pca, project, vectors_of
+
+    targets = [r[0] for r in m.cells.select(column).distinct().orderBy(column).collect() if r[0] is not None and r[0] != control]
+    out = None
+    for k, target in enumerate(targets):
+        markers = perturbation_markers(m, column, target, control, cutoff)
+        if markers.count() < least:
+            continue
+        vectors, _ = vectors_of(m.select_features(markers).dense())
+        fitted = vectors.join(m.cells.filter(F.col(column).isin(target, control)).select("cell"), "cell", "left_semi")
+        _, loadings, _ = pca(fitted, dims, recentre=True)
+        one = project(vectors, loadings).withColumnRenamed("vector", f"v{k}")
+        out = one if out is None else out.join(one, "cell")
+    if out is None:
+        raise ValueError("no target has enough markers")
+    return out.select("cell", F.concat(*(c for c in out.columns if c != "cell")).alias("vector"))
+
+
+def perturbation_lda(m: Matrix, column: str, control, dims: int = 10, cutoff: float = 0.05, least: int = 5) -> DataFrame:
+    """(cell, vector): discriminants of the targets in that space."""
+    from sparsewright.operators.reduction import lda
+
+    space = cut(perturbation_space(m, column, control, dims, cutoff, least), "space")
+    return lda(space, m.cells.filter(F.col(column).isNotNull()).select("cell", F.col(column).alias("label")))[0]

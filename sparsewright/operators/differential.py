@@ -7,6 +7,7 @@ tail probabilities come from a vectorised function over one row a feature.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -33,15 +34,20 @@ def checked_sizes(groups: DataFrame, least: int = 3) -> tuple[int, int]:
     return a, b
 
 
-def fold_change(m: Matrix, groups: DataFrame, pseudocount: float = 1.0, base: float = 2.0, layer: str = "data") -> DataFrame:
-    """(feature, avg_log_fc, pct_1, pct_2): the pseudocount goes on the sum; shares are rounded to 3 digits; a scaled layer has plain mean differences."""
+def fold_change(m: Matrix, groups: DataFrame, pseudocount: float = 1.0, base: float = 2.0, layer: str = "data", each: Callable[[Column], Column] | None = None, finish: Callable[[Column, int], Column] | None = None) -> DataFrame:
+    """(feature, avg_log_fc, pct_1, pct_2): the pseudocount goes on the sum; shares are rounded to 3 digits; a scaled layer has plain mean differences.
+
+    A mean of one's own: ``each`` is applied to stored values (zeros stay zeros) before they are added up, ``finish`` to a group's sum and size.
+    """
     n1, n2 = checked_sizes(groups, 1)
-    x = {"data": F.expm1("value"), "counts": F.col("value"), "scale.data": F.col("value")}[layer]
+    x = each(F.col("value")) if each else {"data": F.expm1("value"), "counts": F.col("value"), "scale.data": F.col("value")}[layer]
     part = lambda g: F.sum(F.when(F.col("g") == g, x).otherwise(0.0))
     share = lambda g: F.sum(F.when((F.col("g") == g) & (F.col("value") > 0), 1).otherwise(0))
     sums = m.values.join(groups, "cell").groupBy("feature").agg(part(1).alias("s1"), part(2).alias("s2"), share(1).alias("k1"), share(2).alias("k2"))
     rows = m.features.select("feature").join(sums, "feature", "left").fillna(0, ["s1", "s2", "k1", "k2"])
-    if layer == "scale.data":
+    if finish:
+        fc = finish(F.col("s1"), n1) - finish(F.col("s2"), n2)
+    elif layer == "scale.data":
         fc = F.col("s1") / n1 - F.col("s2") / n2
     else:
         fc = (F.log((F.col("s1") + pseudocount) / n1) - F.log((F.col("s2") + pseudocount) / n2)) / math.log(base)
@@ -309,8 +315,13 @@ def find_all_markers(m: Matrix, column: str, min_pct: float = 0.01, logfc_thresh
     return kept.select("cluster", F.col("feature").alias("gene"), "p_val", "avg_log_fc", "pct_1", "pct_2", F.least(F.lit(1.0), F.col("p_val") * m.n_features).alias("p_val_adj"))
 
 
-def find_conserved(m: Matrix, column: str, first, grouping: str) -> DataFrame:
-    """(feature, max_pval, minimump_p_val, n_groups): the test in every level of a cell column; features found in all levels."""
+def minimum_p(p: Column) -> Column:
+    """Combined p of an array of p-values by their least."""
+    return 1 - F.pow(1 - F.array_min(p), F.size(p).cast("double"))
+
+
+def find_conserved(m: Matrix, column: str, first, grouping: str, combine: Callable[[Column], Column] = minimum_p) -> DataFrame:
+    """(feature, max_pval, minimump_p_val, n_groups): the test in every level of a cell column; features found in all levels. ``combine`` makes one p of an array of them."""
     levels = [r[0] for r in m.cells.filter(F.col(grouping).isNotNull()).groupBy(grouping).agg(F.count_distinct(F.when(F.col(column) == F.lit(first), F.lit(1)).otherwise(F.lit(0))).alias("k")).filter("k = 2").orderBy(grouping).collect()]
     every = None
     for level in levels:
@@ -318,5 +329,4 @@ def find_conserved(m: Matrix, column: str, first, grouping: str) -> DataFrame:
         rows = wilcoxon(part, two_groups(part, column, first)).select("feature", "p_val")
         every = rows if every is None else every.unionByName(rows)
     k = len(levels)
-    least = F.min("p_val")
-    return every.groupBy("feature").agg(F.max("p_val").alias("max_pval"), (1 - F.pow(1 - least, F.lit(float(k)))).alias("minimump_p_val"), F.count(F.lit(1)).alias("n_groups")).filter(F.col("n_groups") == k)
+    return every.groupBy("feature").agg(F.max("p_val").alias("max_pval"), combine(F.sort_array(F.collect_list("p_val"))).alias("minimump_p_val"), F.count(F.lit(1)).alias("n_groups")).filter(F.col("n_groups") == k)

@@ -189,3 +189,20 @@ def map_query(reference: DataFrame, query: DataFrame, labels: DataFrame, k_ancho
     """(labels, vectors) of query cells: transferred labels and corrected vectors, by one table of anchor weights."""
     weights = cut(anchor_weights(find_anchors(reference, query, k_anchor, k_score), query, k_weight), "weights")
     return transfer_labels(weights, labels), vector_form(correct(weights, long_form(reference), long_form(query)))
+
+
+def map_embeddings(anchors: DataFrame, reference: DataFrame, query: DataFrame, k_weight: int = 50) -> DataFrame:
+    """(cell, vector): a query's embeddings corrected onto the reference's along given anchors."""
+    weights = cut(anchor_weights(anchors, query, k_weight), "weights")
+    return vector_form(correct(weights, long_form(reference), long_form(query)))
+
+
+def bridge_anchors(reference: DataFrame, query: DataFrame, bridge_one: DataFrame, bridge_two: DataFrame, k_anchor: int = 5, k_score: int = 30) -> DataFrame:
+    """Anchors between a reference of one kind and a query of another, through cells that were measured in both.
+
+    ``bridge_one`` is of the query's kind and ``bridge_two`` of the reference's:
+    the query is carried over by the linear map that fits the bridge best.
+    """
+    from sparsewright.operators.sketching import unsketch
+
+    return find_anchors(reference, cut(unsketch(bridge_two, bridge_one, query), "bridged"), k_anchor, k_score)

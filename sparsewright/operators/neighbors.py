@@ -10,6 +10,8 @@ recall asks for.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -188,13 +190,33 @@ def predict_values(neighbors: DataFrame, values: DataFrame, drop_self: bool = Tr
     return sums.join(size, "query").select(F.col("query").alias("cell"), "feature", (F.col("s") / F.col("k")).alias("value"))
 
 
-def neighbor_mean(neighbors: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(cell, vector): mean vector of the neighbours, without the cell itself."""
+def neighbor_mean(neighbors: DataFrame, vectors: DataFrame, mean: Callable[[Column], Column] = F.avg) -> DataFrame:
+    """(cell, vector): mean vector (or any aggregate, by dimension) of the neighbours, without the cell itself."""
     rows = neighbors.filter("query != neighbor").join(vectors.withColumnRenamed("cell", "neighbor"), "neighbor").select("query", F.posexplode("vector").alias("dim", "x"))
-    means = rows.groupBy("query", "dim").agg(F.avg("x").alias("x"))
+    means = rows.groupBy("query", "dim").agg(mean(F.col("x")).alias("x"))
     return means.groupBy(F.col("query").alias("cell")).agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("p")).select("cell", F.col("p.x").alias("vector"))
 
 
+def pair_distances(a: DataFrame, b: DataFrame, function: Callable[[np.ndarray, np.ndarray], float]) -> DataFrame:
+    """(i, j, dist) of all pairs by any function of two vectors; all pairs are the result. Blocks of one side meet blocks of the other."""
+    from sparsewright.plans.scratch import cut
+
+    ki, kj = a.schema["cell"].dataType.simpleString(), b.schema["cell"].dataType.simpleString()
+    blocks = lambda rows, c: rows.groupBy(F.pmod(F.xxhash64("cell"), F.lit(max(1, rows.count() // 512))).alias(f"b{c}")).agg(F.collect_list("cell").alias(f"{c}s"), F.collect_list("vector").alias(f"v{c}"))
+    left, right = cut(blocks(a, "i"), "left"), cut(blocks(b, "j"), "right")
+    n = right.select("bj").distinct().orderBy("bj")
+    pairs = left.withColumn("bj", F.explode(F.lit([r[0] for r in n.collect()]))).join(right, "bj")  # one number a block of 512 cells
+
+    def run(frames):
+        for pdf in frames:
+            for i, x, j, y in zip(pdf["is"], pdf["vi"], pdf["js"], pdf["vj"], strict=True):
+                x, y = np.stack(list(x)), np.stack(list(y))
+                for c, v in zip(i, x, strict=True):
+                    yield pd.DataFrame({"i": c, "j": list(j), "dist": [float(function(v, w)) for w in y]})
+
+    return pairs.select("is", "vi", "js", "vj").mapInPandas(run, f"i {ki}, j {kj}, dist double")
+
+
 def niche_counts(neighbors: DataFrame, labels: DataFrame) -> DataFrame:
     """(cell, label, n): labels among each cell's neighbours, itself included."""
     return neighbors.join(labels.select(F.col("cell").alias("neighbor"), "label"), "neighbor").groupBy(F.col("query").alias("cell"), "label").agg(F.count(F.lit(1)).alias("n"))

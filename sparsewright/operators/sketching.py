@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -57,9 +59,9 @@ def weighted_sample(rows: DataFrame, weight: str, n: int, seed: int = 1) -> Data
     return rows.filter(F.col(weight) > 0).withColumn("key", key).orderBy(F.desc("key"), "cell").limit(n).drop("key")
 
 
-def sketch_cells(vectors: DataFrame, n: int, method: str = "leverage", seed: int = 1) -> DataFrame:
-    """(cell) ids of a sketch by leverage or uniform chances."""
-    scores = leverage_exact(vectors) if method == "leverage" else vectors.select("cell", F.lit(1.0).alias("leverage"))
+def sketch_cells(vectors: DataFrame, n: int, method: str | Callable[[DataFrame], DataFrame] = "leverage", seed: int = 1) -> DataFrame:
+    """(cell) ids of a sketch by leverage or uniform chances, or by those that a function gives as (cell, leverage)."""
+    scores = method(vectors) if callable(method) else leverage_exact(vectors) if method == "leverage" else vectors.select("cell", F.lit(1.0).alias("leverage"))
     return weighted_sample(scores, "leverage", n, seed).select("cell")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -13,13 +15,14 @@ from sparsewright.operators.statistics import expm1_statistics, row_moments, sta
 BINS = 20
 
 
-def dispersion(m: Matrix, bins: int = BINS) -> DataFrame:
+def dispersion(m: Matrix, bins: int = BINS, statistics: Callable[[Matrix], DataFrame] | None = None) -> DataFrame:
     """(feature, mean, dispersion, bin, dispersion_scaled) on log-normalised values.
 
     Means fall into equal-width bins, the first of which includes the least
     mean; dispersions are z-scores in their bin, null in a bin of one.
+    ``statistics`` gives a (feature, mean, dispersion) of one's own.
     """
-    rows = expm1_statistics(m).select("feature", F.col("exp_mean").alias("mean"), F.coalesce("log_vmr", F.lit(0.0)).alias("dispersion"))
+    rows = statistics(m) if statistics else expm1_statistics(m).select("feature", F.col("exp_mean").alias("mean"), F.coalesce("log_vmr", F.lit(0.0)).alias("dispersion"))
     span = rows.agg(F.min("mean").alias("low"), F.max("mean").alias("high"))
     width = (F.col("high") - F.col("low")) / bins
     slot = F.when(width > 0, F.greatest(F.lit(1), F.least(F.lit(bins), F.ceil((F.col("mean") - F.col("low")) / F.when(width > 0, width))))).otherwise(1)
@@ -89,6 +92,22 @@ def top_dispersion(m: Matrix, n_select: int = 2000) -> DataFrame:
     return ranked(dispersion(m).select("feature", "dispersion"), "dispersion", n_select)
 
 
+METHODS: dict[str, Callable[[Matrix, int], DataFrame]] = {
+    "vst": vst,
+    "disp": top_dispersion,
+    "mvp": lambda m, n: mean_var_plot(m),
+}
+
+
+def find_variable_features(m: Matrix, method: str | Callable[[Matrix], DataFrame] = "vst", n_select: int = 2000) -> DataFrame:
+    """Ranked features by a named method, or by the score of any function that gives (feature, score)."""
+    if callable(method):
+        return ranked(method(m), "score", n_select)
+    if method not in METHODS:
+        raise ValueError(f"unknown method: {method}")
+    return METHODS[method](m, n_select)
+
+
 def select_shared(ranks: DataFrame, n_select: int, datasets: int) -> DataFrame:
     """From (dataset, feature, rank): features by the number of datasets that list them, then median rank, then id."""
     by = ranks.groupBy("feature").agg(F.count_distinct("dataset").alias("n_datasets"), F.percentile("rank", 0.5).alias("median_rank")).filter(F.col("n_datasets") <= datasets)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparsewright.matrix import embedding_table, sales_matrix
-from sparsewright.operators import clustering, differential, integration, layout, mapping, neighbors, reduction
+from sparsewright.matrix import Matrix, embedding_table, sales_matrix
+from sparsewright.operators import clustering, demultiplexing, differential, integration, layout, mapping, neighbors, reduction, residuals, variable_features
 from sparsewright.plans import matrix_queries
 from sparsewright.plans.matrix_queries import FIRST, SECOND, data
 from sparsewright.plans.rounding import rounded
@@ -164,3 +164,105 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     v = embedding_table(spark, sf_dir)
     return rounded(layout.memberships(neighbors.knn(v, v, 16)), 4)
+
+
+@query("variable_features_by_function", "SELECT feature, s AS score, k::INT AS rank FROM (SELECT feature, s, row_number() OVER (ORDER BY s DESC, feature) AS k FROM (SELECT feature, sum(value) AS s FROM m GROUP BY 1)) WHERE k <= 100", M)
+def _(spark, sf_dir):
+    return variable_features.find_variable_features(sales_matrix(spark, sf_dir), lambda m: m.values.groupBy("feature").agg(F.sum("value").alias("score")), 100)
+
+
+@query(
+    "fold_change_of_own_mean",
+    _GROUPS + " SELECT feature, round(coalesce(sum(sqrt(value)) FILTER (g = 1), 0) / max(n1) - coalesce(sum(sqrt(value)) FILTER (g = 2), 0) / max(n2), 6) AS avg_log_fc FROM f LEFT JOIN (SELECT feature, value, g FROM m JOIN g USING (cell)) USING (feature), n GROUP BY 1",
+    M,
+)
+def _(spark, sf_dir):
+    m = sales_matrix(spark, sf_dir)
+    groups = differential.two_groups(m, "ident", FIRST, SECOND)
+    return rounded(differential.fold_change(m, groups, each=F.sqrt, finish=lambda total, n: total / n).select("feature", "avg_log_fc"))
+
+
+@query("own_pair_distance", ", e AS (SELECT vec_id AS cell, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0) SELECT a.cell AS i, b.vec_id AS j, round(list_sum(list_transform(list_zip(a.v, b.embedding::DOUBLE[]), lambda p: abs(p[1] - p[2]))), 6) AS dist FROM e a, embeddings b".replace(", e AS", "WITH e AS", 1))
+def _(spark, sf_dir):
+    v = embedding_table(spark, sf_dir)
+    return rounded(neighbors.pair_distances(v.filter("cell % 100 = 0"), v, lambda x, y: abs(x - y).sum()))
+
+
+@query("own_neighbor_mean", "WITH v AS (SELECT vec_id AS cell, embedding::DOUBLE[] AS vec FROM embeddings), nn AS (SELECT x.cell AS query, y.cell AS neighbor, row_number() OVER (PARTITION BY x.cell ORDER BY round(list_distance(x.vec, y.vec), 9), y.cell) AS rank FROM v x, v y) SELECT query AS cell, round(max(vec[1]), 6) AS first FROM nn JOIN v ON neighbor = v.cell WHERE rank <= 6 AND query <> neighbor GROUP BY 1")
+def _(spark, sf_dir):
+    v = embedding_table(spark, sf_dir).select("cell", "vector")
+    found = neighbors.neighbor_mean(neighbors.knn(v, v, 6), v.select("cell", F.slice("vector", 1, 1).alias("vector")), F.max)
+    return rounded(found.select("cell", F.get("vector", 0).alias("first")))
+
+
+@query("bridge_anchors")
+def _(spark, sf_dir):
+    v = embedding_table(spark, sf_dir)
+    one = v.select("cell", F.slice("vector", 1, 32).alias("vector"))
+    two = v.select("cell", F.slice("vector", 33, 32).alias("vector"))
+    third = lambda d, k: d.filter(F.col("cell") % 3 == k)
+    return rounded(mapping.bridge_anchors(third(two, 1), third(one, 2), third(one, 0), third(two, 0)))
+
+
+@query("map_embeddings")
+def _(spark, sf_dir):
+    layers = _layers(spark, sf_dir)
+    anchors = mapping.find_anchors(layers["even"], layers["odd"])
+    return _long(mapping.map_embeddings(anchors, layers["even"], layers["odd"]))
+
+
+@query("pca_sparse")
+def _(spark, sf_dir):
+    m = sales_matrix(spark, sf_dir)
+    m = m.select_features(m.features.filter("size <= 10"))
+    return _long(reduction.pca_sparse(m, 10)[0])
+
+
+def _models(spark, sf_dir):
+    m = sales_matrix(spark, sf_dir)
+    out = {}
+    for name in (FIRST, SECOND):
+        part = m.select_cells(m.cells.filter(F.col("ident") == name))
+        seen = part.values.groupBy("feature").agg(F.log(F.avg("value")).alias("intercept")).select("feature", "intercept", F.lit(0.3).alias("slope"), F.lit(4.0).alias("theta"))
+        out[name] = (part, seen)
+    return out
+
+
+_MODELS = f", ds AS (SELECT cell, ident AS dataset FROM c WHERE ident IN ('{FIRST}', '{SECOND}')), dep AS (SELECT cell, dataset, log10(t) AS depth FROM tot JOIN ds USING (cell) WHERE t > 0), nd AS (SELECT dataset, count(*)::DOUBLE AS n FROM dep GROUP BY 1), na AS (SELECT dataset, count(*)::DOUBLE AS n FROM ds GROUP BY 1), par AS (SELECT dataset, feature, ln(avg(value)) AS b FROM m JOIN ds USING (cell) GROUP BY 1, 2), mid AS (SELECT min(md) AS mid FROM (SELECT quantile_cont(depth, 0.5) AS md FROM dep GROUP BY dataset)), res AS (SELECT dataset, feature, cell, greatest(-sqrt(n / 30), least(sqrt(n / 30), (coalesce(value, 0) - exp(b + 0.3 * depth)) / sqrt(exp(b + 0.3 * depth) + exp(b + 0.3 * depth) * exp(b + 0.3 * depth) / 4))) AS r, b FROM par JOIN dep USING (dataset) JOIN na USING (dataset) LEFT JOIN m USING (feature, cell))"
+
+
+@query("prepared_residuals", _MODELS + " SELECT dataset, feature, cell, round(r, 6) AS value FROM res WHERE feature <= 50", M)
+def _(spark, sf_dir):
+    return rounded(residuals.prepared_residuals(_models(spark, sf_dir), spark.range(51).withColumnRenamed("id", "feature")))
+
+
+@query("recorrected_counts", _MODELS + ", x AS (SELECT dataset, feature, cell, round(r * sqrt(exp(b + 0.3 * mid) + exp(b + 0.3 * mid) * exp(b + 0.3 * mid) / 4) + exp(b + 0.3 * mid)) AS value FROM res, mid) SELECT dataset, feature, cell, value FROM x WHERE value > 0", M)
+def _(spark, sf_dir):
+    return residuals.recorrected(_models(spark, sf_dir))
+
+
+@query("shared_residual_features", _MODELS + ", rv AS (SELECT dataset, feature, row_number() OVER (PARTITION BY dataset ORDER BY var_samp(r) DESC, feature) AS k FROM res GROUP BY 1, 2) SELECT feature FROM (SELECT feature, count(*) AS nd, quantile_cont(k, 0.5) AS md FROM rv WHERE k <= 300 AND feature IN (SELECT feature FROM par GROUP BY 1 HAVING count(*) = 2) GROUP BY 1) ORDER BY nd DESC, md, feature LIMIT 300", M)
+def _(spark, sf_dir):
+    return residuals.shared_residual_features(_models(spark, sf_dir), 300).select("feature")
+
+
+def _screen(spark, sf_dir) -> Matrix:
+    """Identities as targets, with a shift of some features in one of them."""
+    m = data(spark, sf_dir)
+    m = m.select_features(m.features.filter("feature <= 60"))
+    moved = m.values.join(m.cells.select("cell", "ident"), "cell").withColumn("value", F.when((F.col("ident") == FIRST) & (F.col("feature") <= 12), F.col("value") + 6).otherwise(F.col("value")))
+    return m.with_values(moved.select("feature", "cell", "value"))
+
+
+@query("perturbation_markers")
+def _(spark, sf_dir):
+    return rounded(demultiplexing.perturbation_markers(_screen(spark, sf_dir), "ident", FIRST, SECOND, cutoff=0.5))
+
+
+@query("missing_signatures", "WITH v AS (SELECT vec_id AS cell, embedding::DOUBLE[] AS vec FROM embeddings) SELECT cell, d::INT AS feature, round(0.0, 6)::DOUBLE AS value FROM v, (SELECT unnest([0, 1]) AS d)")
+def _(spark, sf_dir):
+    v = embedding_table(spark, sf_dir).select("cell")
+    values = v.withColumn("feature", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("value", F.lit(2.0))
+    near = v.select(F.col("cell").alias("query"), F.lit(0).cast("long").alias("neighbor"))
+    known = values.filter("feature = 0").select("cell", "feature", F.lit(0.0).alias("value"))
+    return rounded(demultiplexing.missing_signatures(values, near, known, values.select("feature")))
