@@ -109,6 +109,46 @@ def step_table(automaton: SuffixAutomaton, symbols: int) -> np.ndarray:
     return table.ravel()
 
 
+def _parsed(table: np.ndarray, steps: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Phrases that end in each block of the whole texts' parses.
+
+    All blocks are parsed side by side from the root first. Then a block that
+    follows another of its text starts in the state that the other ended in, and
+    is parsed anew until both parses are in one state, from where they are equal;
+    so on while ends of blocks change.
+    """
+    state = np.zeros(steps.shape[1], dtype=np.int32)
+    count = np.zeros(steps.shape[1], dtype=np.int32)
+    states, counts = np.empty(steps.shape, dtype=np.int32), np.empty(steps.shape, dtype=np.int32)
+    for i, c in enumerate(steps):
+        value = table[state + c]
+        count = count + (value & 1)
+        state = value >> 1
+        states[i], counts[i] = state, count
+    ends, begins = states[-1].copy(), np.zeros(steps.shape[1], dtype=np.int32)
+    follows = np.append(False, owner[1:] == owner[:-1])
+    lanes = np.flatnonzero(follows)
+    while len(lanes := lanes[ends[lanes - 1] != begins[lanes]]):
+        state = begins[lanes] = ends[lanes - 1]
+        count = np.zeros(len(lanes), dtype=np.int32)
+        for i, c in enumerate(steps):
+            value = table[state + c[lanes]]
+            count = count + (value & 1)
+            state = value >> 1
+            met = state == states[i, lanes]
+            if met.any():
+                done = lanes[met]
+                counts[i:, done] += count[met] - counts[i, done]
+                lanes, state, count = lanes[~met], state[~met], count[~met]
+                if not len(lanes):
+                    break
+            states[i, lanes], counts[i, lanes] = state, count
+        ends[lanes] = state[: len(lanes)]
+        lanes = lanes[lanes + 1 < len(owner)] + 1
+        lanes = lanes[follows[lanes]]
+    return counts[-1]
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -153,13 +193,7 @@ class Model:
         out = np.zeros((len(lows), len(self.languages)))
         owner = np.repeat(np.arange(len(lows)), blocks)
         for k, table in enumerate(self.tables):
-            state = np.zeros(len(grid), dtype=np.int32)
-            count = np.zeros(len(grid), dtype=np.int32)
-            for c in steps:
-                value = table[state + c]
-                count += value & 1
-                state = value >> 1
-            out[:, k] = np.bincount(owner, weights=count, minlength=len(lows))
+            out[:, k] = np.bincount(owner, weights=_parsed(table, steps, owner), minlength=len(lows))
         return out, np.where(letters > 0, n, 0)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
