@@ -35,8 +35,10 @@ from sparsewright.llm.vec import SPACE, slices, texts_of
 MIN_DOCS = 10
 #: Keys a filter shard is sized for; the number of shards follows the number of keys.
 SHARD_KEYS = 200_000
-#: Filters go to all executors only up to this many bytes; beyond it every line meets the exact table.
+#: Filters go to all executors only up to this many bytes; beyond it lines go to the filters, by shard.
 FILTER_BYTES = 64 << 20
+#: Lines that meet one copy of a filter there.
+SALT_LINES = 1_000_000
 _FLUSH = 100_000
 
 
@@ -149,6 +151,30 @@ def line_counts(docs: DataFrame, sign: int = 1) -> DataFrame:
     return docs.select("text").mapInArrow(_count(sign), "key binary, n_docs long").groupBy("key").agg(F.sum("n_docs").alias("n_docs"))
 
 
+def _filter(table: bytes) -> CuckooFilter:
+    return CuckooFilter(0, np.frombuffer(table, dtype=np.uint16).reshape(-1, CuckooFilter.SLOTS))
+
+
+def _packed_keys(digests: np.ndarray) -> pa.Array:
+    """16-byte digests as a binary column."""
+    flat = np.ascontiguousarray(digests).tobytes()
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(digests), [None, pa.py_buffer(flat)]).cast(pa.binary())
+
+
+def _slice_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Of each slice with line keys: ids, and (row, digest) of every row's distinct keys."""
+    for batch in batches:
+        for part in slices(batch):
+            rows, keys = [], []
+            for i, text in enumerate(texts_of(part.column(1))):
+                for key in {line_key(x) for x in text.as_py().split(b"\n")}:
+                    if key:
+                        rows.append(i)
+                        keys.append(digest(key))
+            if keys:
+                yield part.column(0), np.array(rows), np.frombuffer(b"".join(keys), dtype=np.uint64).reshape(-1, 2)
+
+
 @dataclass
 class LineStore:
     """Reference counts of all line keys, and filters of the keys in at least ``min_docs`` documents."""
@@ -212,36 +238,52 @@ class LineStore:
             return None
         return self.spark.sparkContext.broadcast({r.shard: bytes(r.filter) for r in self.filters.collect()})
 
-    def hits(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, keys): keys to drop of every document that has some."""
+    def _candidates(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, key): keys of every document that its filter holds."""
         held, shards = self._probe(), self.shards
         kind = docs.schema["doc_id"].dataType.simpleString()
+        docs = docs.select("doc_id", "text")
+        if held is not None:
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                filters = {k: _filter(v) for k, v in held.value.items()}
+                for ids, rows, digests in _slice_keys(batches):
+                    ok, shard = np.zeros(len(rows), dtype=bool), shards_of(digests, shards)
+                    for s, f in filters.items():
+                        mine = np.flatnonzero(shard == s)
+                        ok[mine] = f.probe(digests[mine])
+                    yield pa.record_batch([ids.take(pa.array(rows[ok])), _packed_keys(digests[ok])], ["doc_id", "key"])
+
+            return docs.mapInArrow(run, f"doc_id {kind}, key binary")
+        lines = self.counts.agg(F.sum("n_docs")).first()[0] or 0
+        salts = max(1, -(-lines // (shards * SALT_LINES)))
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, rows, digests in _slice_keys(batches):
+                shard = shards_of(digests, shards).astype(np.int32)
+                order = np.argsort(shard, kind="stable")
+                at = np.flatnonzero(np.append(True, np.diff(shard[order]) != 0)[: len(order)])
+                parts = np.split(order, at[1:])
+                salt = [int(digests[p[0], 1] % np.uint64(salts)) for p in parts]
+                offsets = pa.array(np.append(at, len(order)).astype(np.int32))
+                yield pa.record_batch([pa.array(shard[order][at]), pa.array(salt, pa.int32()), pa.ListArray.from_arrays(offsets, ids.take(pa.array(rows[order]))), pa.array([digests[p].tobytes() for p in parts], pa.binary())], ["shard", "salt", "ids", "keys"])
+
+        def probe(filters: pa.Table, rows: pa.Table) -> pa.Table:
+            none = pa.table({"doc_id": pa.array([], rows.schema.field("ids").type.value_type), "key": pa.array([], pa.binary())})
+            if not filters.num_rows or not rows.num_rows:
+                return none
+            digests = np.frombuffer(b"".join(rows.column("keys").to_pylist()), dtype=np.uint64).reshape(-1, 2)
+            ok = _filter(filters.column("filter")[0].as_py()).probe(digests)
+            return pa.table({"doc_id": rows.column("ids").combine_chunks().flatten().filter(pa.array(ok)), "key": _packed_keys(digests[ok])})
+
+        dealt = docs.mapInArrow(deal, f"shard int, salt int, ids array<{kind}>, keys binary")
+        filters = self.filters.select("shard", "filter", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        return filters.groupBy("shard", "salt").cogroup(dealt.groupBy("shard", "salt")).applyInArrow(probe, f"doc_id {kind}, key binary")
 
-        def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filters = {} if held is None else {k: CuckooFilter(0, np.frombuffer(v, dtype=np.uint16).reshape(-1, CuckooFilter.SLOTS)) for k, v in held.value.items()}
-            for batch in batches:
-                for part in slices(batch):
-                    rows, keys = [], []
-                    for i, text in enumerate(texts_of(part.column(1))):
-                        for key in {line_key(x) for x in text.as_py().split(b"\n")}:
-                            if key:
-                                rows.append(i)
-                                keys.append(digest(key))
-                    if not keys:
-                        continue
-                    rows, digests = np.array(rows), np.frombuffer(b"".join(keys), dtype=np.uint64).reshape(-1, 2)
-                    ok = np.full(len(rows), held is None)
-                    if held is not None:
-                        shard = shards_of(digests, shards)
-                        for s, f in filters.items():
-                            mine = np.flatnonzero(shard == s)
-                            ok[mine] = f.probe(digests[mine])
-                    found = np.flatnonzero(ok)
-                    yield pa.record_batch([part.column(0).take(pa.array(rows[found])), pa.array([keys[i] for i in found], pa.binary())], ["doc_id", "key"])
-
-        maybe = docs.select("doc_id", "text").mapInArrow(candidates, f"doc_id {kind}, key binary")
+    def hits(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, keys): keys to drop of every document that has some."""
         hot = self.counts.filter(F.col("n_docs") >= self.min_docs).select("key")
-        return maybe.join(hot, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+        return self._candidates(docs).join(hot, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
     def rewrite(self, docs: DataFrame) -> DataFrame:
         """``docs`` with ``text`` as it stays, ``n_lines`` (before) and ``n_dropped``; null texts stay null unless they lose a line."""
