@@ -209,10 +209,10 @@ def _key_rows(held, buckets: int):
                 ents = np.repeat(np.array(list(of_slice), dtype=np.int64), [len(k) for k in of_slice.values()])
                 bucket = (keys >> U64(32)) % U64(buckets)
                 order = np.argsort(bucket, kind="stable")
-                edge = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=U64))
-                rows = [b for b in range(buckets) if edge[b] < edge[b + 1]]
-                cut_ = [order[edge[b] : edge[b + 1]] for b in rows]
-                yield pa.record_batch([pa.array(rows, pa.int32()), pa.array([keys[o].tobytes() for o in cut_], pa.binary()), pa.array([ents[o].tobytes() for o in cut_], pa.binary())], ["bucket", "keys", "ents"])
+                # only buckets that the slice has keys for: their number does not grow with that of all buckets
+                at = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)[: len(order)])
+                rows, cut_ = bucket[order][at].astype(np.int32), np.split(order, at[1:]) if len(at) else []
+                yield pa.record_batch([pa.array(rows), pa.array([keys[o].tobytes() for o in cut_], pa.binary()), pa.array([ents[o].tobytes() for o in cut_], pa.binary())], ["bucket", "keys", "ents"])
 
     return run
 
@@ -426,9 +426,14 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the row of the smallest doc_id stays (of repeated rows with that id, all that are one text stay one)."""
-    kept = NgramJoin(docs).components().filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct().withColumnRenamed("doc_id", "kept_id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """Pipeline stage: of each component the row of the smallest doc_id stays; of rows that repeat that id with one text, one."""
+    own = NgramJoin(docs).components().filter(F.col("component_id").eqNullSafe(F.col("doc_id")))
+    kept = cut(own.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("rows")), "kept")
+    of = lambda ids: docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+    again = kept.filter("rows > 1")
+    if again.isEmpty():
+        return of(kept)
+    return of(kept.filter("rows = 1")).unionByName(of(again).dropDuplicates(["doc_id", "text"]))
 
 
 #: The same by comparing all shingle sets that share a shingle; components by following links.
