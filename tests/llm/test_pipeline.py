@@ -50,6 +50,16 @@ def test_near_copies_leave_one(spark, documents):
     assert kept == sorted(set(classes.values()))
 
 
+def test_repeated_rows_leave_one(spark):
+    from sparsewright.llm import ngram_join
+
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(7, a), (7, a), (7, b), (9, a + " more"), (3, b + " rest"), (None, None), (11, ""), (11, "")]
+    out = ngram_join.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r.doc_id, r.text) for r in out if r.doc_id is not None) == [(3, b + " rest"), (7, a), (7, b), (11, "")]
+    assert sum(r.doc_id is None for r in out) == 1
+
+
 def test_decontamination_leaves_no_window(spark, documents):
     from sparsewright.llm import decontaminate
 
