@@ -242,14 +242,14 @@ def count_wald(m: Matrix, groups: DataFrame) -> DataFrame:
     The dispersion is the feature's own by moments (no shrinkage towards a
     trend); features without counts in either group have no row.
     """
-    n1, n2 = checked_sizes(groups, 2)
+    n1, n2 = checked_sizes(groups, 1)
     factors = size_factors(m)
     inverse = factors.join(groups, "cell").agg(F.avg(1 / F.col("factor")).alias("inv"))
     scaled = m.with_values(m.values.join(factors, "cell").select("feature", "cell", (F.col("value") / F.col("factor")).alias("value")))
     rows = _positive_sums(scaled, groups).join(F.broadcast(inverse), how="cross")  # one row
     mean = lambda g, n: F.col(f"s{g}") / n
     spread = lambda g, n: (F.col(f"q{g}") - F.col(f"s{g}") * F.col(f"s{g}") / n)
-    pooled = (spread(1, n1) + spread(2, n2)) / (n1 + n2 - 2)
+    pooled = (spread(1, n1) + spread(2, n2)) / max(1, n1 + n2 - 2)
     whole = (F.col("s1") + F.col("s2")) / (n1 + n2)
     alpha = F.greatest((pooled - whole * F.col("inv")) / (whole * whole), F.lit(1e-8))
     rows = rows.filter("s1 > 0 and s2 > 0").withColumn("alpha", alpha)

@@ -66,7 +66,7 @@ def _(spark, sf_dir):
     _FACTORS
     + _GROUPS
     + """, iv AS (SELECT avg(1 / factor) AS inv FROM sf JOIN g USING (cell)), s AS (SELECT feature, coalesce(sum(x) FILTER (g = 1), 0) AS s1, coalesce(sum(x * x) FILTER (g = 1), 0) AS q1, coalesce(sum(x) FILTER (g = 2), 0) AS s2, coalesce(sum(x * x) FILTER (g = 2), 0) AS q2 FROM (SELECT feature, cell, value / factor AS x FROM m JOIN sf USING (cell) WHERE value > 0) JOIN g USING (cell) GROUP BY 1),
-a AS (SELECT *, greatest(1e-8, ((q1 - s1 * s1 / n1 + q2 - s2 * s2 / n2) / (n1 + n2 - 2) - (s1 + s2) / (n1 + n2) * inv) / pow((s1 + s2) / (n1 + n2), 2)) AS alpha FROM s, n, iv WHERE s1 > 0 AND s2 > 0)
+a AS (SELECT *, greatest(1e-8, ((q1 - s1 * s1 / n1 + q2 - s2 * s2 / n2) / greatest(1, n1 + n2 - 2) - (s1 + s2) / (n1 + n2) * inv) / pow((s1 + s2) / (n1 + n2), 2)) AS alpha FROM s, n, iv WHERE s1 > 0 AND s2 > 0)
 SELECT feature, round(ln((s1 / n1) / (s2 / n2)) / ln(2), 6) AS log2_fc, round(ln((s1 / n1) / (s2 / n2)) / sqrt((inv / (s1 / n1) + alpha) / n1 + (inv / (s2 / n2) + alpha) / n2), 6) AS z FROM a""",
     M,
 )
