@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparsewright.functions.distributions import negbinom_quantile, theta_moments
+from sparsewright.functions.distributions import negbinom_quantile
 from sparsewright.matrix import Matrix
 from sparsewright.plans.scratch import cut
 
