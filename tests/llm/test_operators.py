@@ -456,6 +456,25 @@ def test_quality_rules(spark, docs, texts, empty):
     assert quality_rules.judge(empty, np.zeros(quality_rules.BUCKETS)).count() == 0
 
 
+def test_quality_rules_learn_from_all_labelled_documents(spark):
+    """Beyond any sample's size, every trusted document is counted: each has a word of its own, as have those left out."""
+    from sparsewright.llm import quality_rules as qr
+
+    n = 12_000
+    rows = [(i, f"w{i} " + " ".join(f"{'abcdefghijkl'[(i + k) % 12]}{k}" for k in range(10))) for i in range(n)] + [(None, "no id " * 3), (n, "x y"), (n + 1, None)]
+    corpus = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    # a repeated label counts once, a failed base rule not at all
+    labels = spark.createDataFrame([(i, 1 if i % 12 else 0, 0) for i in range(n)] + [(1, 1, 0), (n, 1, 0), (n + 1, 1, 0), (None, 1, 0), (10**6, 1, 0)], "doc_id long, quality int, toxic int")
+
+    def logs(texts, base):
+        m = qr.Measured(pa.array([(t or "").encode() for t in texts], pa.binary()))
+        counts = np.bincount(m.bucket[~m.base_failed[m.owner]] if base else m.bucket, minlength=qr.BUCKETS)
+        return np.log((counts + qr.SMOOTHING) / (counts.sum() + qr.SMOOTHING * qr.BUCKETS))
+
+    want = logs([t for i, t in rows if i is not None and (i >= n or i % 12)], True) - logs([t for _, t in rows], False)
+    assert np.allclose(qr.train(corpus, labels), want, rtol=0, atol=1e-9)
+
+
 def test_license_scan(docs, texts, empty):
     from sparsewright.llm import license_scan as ls
 
