@@ -11,7 +11,8 @@ through the alignment to byte spans of the original text.
 
 Pair merging by pieces that never hold a space mark after another character
 cannot cross such a place, so runs of space marks with the characters up to the
-next one are segmented each, and frequent ones are kept. Models of other kinds
+next one are segmented each; a slice's equal runs are one, and those met lately
+are kept. Models of other kinds
 (unigram, no byte pieces) are segmented by the library, as is their decoding.
 
 Cases: a null text is an empty text and has no ids; repeated rows are encoded
@@ -25,7 +26,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -181,15 +181,15 @@ class Normalizer:
 
 
 MARK = SPACE_MARK.decode()
-_RUNS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 class Segmenter:
     """Pieces of normalised text by pair merging: the best score first, the leftmost of equals; other characters become byte pieces.
 
     ``usable`` tells whether the model is of this kind. Runs up to ``LONG``
-    characters are remembered, ``KEPT`` of them at most; new ones of a text are
-    merged together, one merge of each a round.
+    characters are remembered, some ``KEPT`` of them in two generations, of which
+    the one that was asked for longest ago goes; new ones of a slice are merged
+    together, one merge of each a round.
     """
 
     LONG, KEPT = 32, 400_000
@@ -218,8 +218,11 @@ class Segmenter:
         inner = any(MARK in p.lstrip(MARK) for p in self.ids)
         # 1 normal, 2 unknown, 3 control, 6 byte: no user-defined or unused pieces
         self.usable = kind == self._PAIRS and len(self.bytes) == 256 and kinds <= {1, 2, 3, 6} and not inner
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.decimal = [str(i) for i in range(len(self.surface))]
+        #: By id: its decimal with a comma, and the bytes that it stands for.
+        self.commas, self.back = pa.array([f"{d},".encode() for d in self.decimal], pa.large_binary()), pa.array(self.surface, pa.large_binary())
 
     def merge(self, run: str) -> list[int]:
         symbols: list[str] = list(run)
@@ -320,21 +323,60 @@ class Segmenter:
     def _packed(self, run: str) -> bytes:
         return np.array(self.merge(run), dtype="<i4").tobytes()
 
-    def __call__(self, made: list[str]) -> Iterator[list[int]]:
-        """Ids of some texts; runs up to ``LONG`` characters are known from then on."""
-        runs = [_RUNS.findall(m) for m in made]
-        new = [r for r in set().union(*runs) - self.known.keys() if len(r) <= self.LONG]
-        if len(self.known) + len(new) > self.KEPT:
-            self.known.clear()
-            new = [r for r in set().union(*runs) if len(r) <= self.LONG]
+    def _segmented(self, runs: list[bytes]) -> list[bytes]:
+        """Packed ids of distinct runs; those up to ``LONG`` characters are known from then on."""
+        known = self.known
+        out = [known.get(r) for r in runs]
+        asked, new = {}, []
+        for i in [i for i, x in enumerate(out) if x is None]:
+            out[i] = self.older.get(runs[i])
+            if out[i] is not None:
+                asked[runs[i]] = out[i]
+            elif len(text := runs[i].decode()) <= self.LONG:
+                new.append((len(text), i, text))
+            else:
+                out[i] = self._packed(text)
         # those of like length share a matrix
-        new.sort(key=len)
+        new.sort()
         for a in range(0, len(new), 4096):
             part = new[a : a + 4096]
-            self.known.update(zip(part, self.merge_many(part), strict=True))
-        known, other = self.known, self._packed
-        for found in runs:
-            yield np.frombuffer(b"".join([known.get(r) or other(r) for r in found]), dtype="<i4").tolist()
+            for (_, i, _), ids in zip(part, self.merge_many([t for _, _, t in part]), strict=True):
+                out[i] = asked[runs[i]] = ids
+        if len(known) + len(asked) > self.KEPT // 2:
+            self.older, self.known = known, asked
+        else:
+            known.update(asked)
+        return out
+
+    def arrays(self, made: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, first): ids of some normalised texts, one after another, and the place of each text's first (one entry more, the end)."""
+        data = b"".join(made)
+        buf = np.frombuffer(data, dtype=np.uint8)
+        at = np.cumsum([0, *map(len, made)])
+        mark = np.zeros(len(buf), dtype=bool)
+        one, two, three = SPACE_MARK
+        mark[:-2] = (buf[:-2] == one) & (buf[1:-1] == two) & (buf[2:] == three)
+        fresh = mark.copy()
+        fresh[3:] &= ~mark[:-3]
+        fresh[at[:-1][np.diff(at) > 0]] = True
+        begin = np.flatnonzero(fresh)
+        if not len(begin):
+            return np.zeros(0, dtype="<i4"), np.zeros(len(at), dtype=np.int64)
+        edges = pa.py_buffer(np.append(begin, len(buf)).astype(np.int64))
+        runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, edges, pa.py_buffer(data)]).dictionary_encode()
+        packed = self._segmented(runs.dictionary.to_pylist())
+        flat, size = np.frombuffer(b"".join(packed), dtype="<i4"), np.array([len(x) for x in packed]) // 4
+        of = runs.indices.to_numpy()
+        count = size[of]
+        end = np.cumsum(count)
+        ids = flat[np.arange(end[-1]) + np.repeat((np.cumsum(size) - size)[of] - (end - count), count)]
+        return ids, np.append(0, end)[np.searchsorted(begin, at)]
+
+    def __call__(self, made: list[str]) -> Iterator[list[int]]:
+        """Ids of some texts."""
+        ids, first = self.arrays([m.encode() for m in made])
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            yield ids[a:b].tolist()
 
 
 class Codec:
@@ -369,15 +411,18 @@ class Codec:
         surface = self.segment.surface
         if not self.segment.usable:
             return self.model.decode(ids, num_threads=1)
-        back = b"".join([surface[i] for i in ids])
+        return self.text_of(b"".join([surface[i] for i in ids]))
+
+    def text_of(self, back: bytes) -> str:
+        """The decoded text of pieces' bytes."""
         # the mark that the normaliser put before the text goes
         return (back[1:] if self.normalize.prefix and back[:1] == b" " else back).decode(errors="replace")
 
     def spans(self, text: str, ids: list[int], align: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(begin, end) bytes of the original text for each id."""
-        if not ids:
+        if not len(ids):
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        held = np.array(ids)
+        held = np.asarray(ids)
         width = self.width[held]
         if (held == self.unknown).any():
             width = self._with_unknown(text, ids)
@@ -456,14 +501,31 @@ _DIGESTS = ["n_tokens", "ids_sha256", "decoded_sha256", "n_covered"]
 _DIGEST_TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64()]
 
 
+def _covered(begin: np.ndarray, end: np.ndarray) -> int:
+    """Bytes inside spans in order; those of one character's byte pieces coincide."""
+    return int((end - np.maximum(begin, np.maximum.accumulate(np.append(0, end[:-1])))).clip(0).sum()) if len(end) else 0
+
+
+def _joined(parts: pa.LargeBinaryArray, ids: np.ndarray, first: np.ndarray) -> list[memoryview]:
+    """Of each text, the ids' parts laid end to end."""
+    taken = parts.take(pa.array(ids))
+    edge = np.frombuffer(taken.buffers()[1], dtype=np.int64)[first].tolist() if len(ids) else [0] * len(first)
+    data = memoryview(taken.buffers()[2] or b"")
+    return [data[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+
 def _digest(use: Codec, texts: list[str]) -> list[list]:
     """Columns ``_DIGESTS`` of some texts."""
     rows = []
-    for t, (ids, decimal, back, align) in zip(texts, use.pieces(texts), strict=True):
-        begin, end = use.spans(t, ids, align)
-        # spans are in order; those of one character's byte pieces coincide
-        covered = int((end - np.maximum(begin, np.maximum.accumulate(np.append(0, end[:-1])))).clip(0).sum()) if ids else 0
-        rows.append((len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), covered))
+    if not use.segment.usable:
+        for t, (ids, decimal, back, align) in zip(texts, use.pieces(texts), strict=True):
+            rows.append((len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), _covered(*use.spans(t, ids, align))))
+    else:
+        normal = [use.normalize(t.encode()) for t in texts]
+        ids, first = use.segment.arrays([m for m, _ in normal])
+        decimals, backs = _joined(use.segment.commas, ids, first), _joined(use.segment.back, ids, first)
+        for t, (_, align), a, b, decimal, back in zip(texts, normal, first[:-1].tolist(), first[1:].tolist(), decimals, backs, strict=True):
+            rows.append((b - a, hashlib.sha256(decimal[:-1]).hexdigest(), hashlib.sha256(use.text_of(bytes(back)).encode()).hexdigest(), _covered(*use.spans(t, ids[a:b], align))))
     return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in _DIGESTS]
 
 

@@ -139,6 +139,23 @@ def test_segmentation_equals_the_library():
             assert (np.diff(begin) >= 0).all() and (not ids or (begin[0], end[-1]) == (0, len(t.encode())))
 
 
+def test_frequent_runs_are_merged_once(monkeypatch):
+    """Runs that every slice asks for outlive those of one slice."""
+    from sparsewright.llm import piece_codec
+
+    use = piece_codec.Codec(piece_codec.read_model(piece_codec.default_model()))
+    use.segment.KEPT = 500
+    merged, many = Counter(), use.segment.merge_many
+    monkeypatch.setattr(use.segment, "merge_many", lambda runs: merged.update(runs) or many(runs))
+    for k in range(20):
+        part = [f"the rest ▁▁ of {k}x{j} the  rest " for j in range(60)] + ["", " "]
+        rows = piece_codec._digest(use, part)
+        for t, n, ids, back, covered in zip(part, *rows, strict=True):
+            want = use.model.encode(t)
+            assert (n, ids, back, covered) == (len(want), sha(",".join(map(str, want)).encode()), sha(use.model.decode(want).encode()), len(t.encode()))
+    assert merged["▁the"] == merged["▁rest"] == 1
+
+
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc", "nmt_nfkc_cf", "identity"])
 @pytest.mark.parametrize("collapse", [True, False])
 def test_normaliser_follows_compiled_map(rule, collapse):
