@@ -18,9 +18,9 @@ Exact copies are one class, found by a 128-bit digest of the set, and the class
 is joined once. The members of a key are paired with one of them (drawn by
 hash), pairs whose sketches are too far apart are dropped, the rest are verified
 on the texts. If the verified links leave a key's members in several components,
-its members of different components are compared in blocks, sketches first, so
-every linked pair is verified or already connected; no pair within a component
-is listed.
+its members of different components are compared: the pairs of a key of few
+members as they are, those of others in blocks, sketches first. So every linked
+pair is verified or already connected; no pair within a component is listed.
 
 Hashes stand for shingles: sets of two documents could differ from the words'
 with a chance of about n * n / 2**64.
@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparsewright.llm.components import components
+from sparsewright.llm.sieve import Sieve
 from sparsewright.llm.store import cut
 from sparsewright.llm.vec import LOWER, NON_SPACE, U64, Slice, mix, prefix_hash, slices, span_hash, texts_of
 
@@ -52,6 +53,8 @@ NUMERATOR, DENOMINATOR = 80, 100
 BUCKET_KEYS = 500_000
 #: Members of a key that are compared at a time.
 BLOCK = 512
+#: Members of a key whose pairs are listed without their sketches.
+FEW = 8
 #: A shingle is frequent if this share of the documents of a task holds it. It changes the order of keys, never a link.
 FREQUENT = 0.01
 #: Bytes of text whose frequent shingles, or keys, are gathered at a time.
@@ -254,13 +257,6 @@ def _near(batches):
         yield pa.record_batch([c.filter(pa.array(ok)) for c in batch.columns[:2]], ["a", "b"])
 
 
-def _pack(batches):
-    packer = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        for part in slices(batch):
-            yield pa.record_batch([part.column(0), pa.array([packer.compress(x.as_py()) for x in texts_of(part.column(1))], pa.binary())], ["doc_id", "packed"])
-
-
 def _verify(batches):
     """Of (a, b, packed a, packed b): the pairs that are linked."""
     unpack = zstandard.ZstdDecompressor().decompress
@@ -282,6 +278,22 @@ def _verify(batches):
         yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["u", "v"])
 
 
+def _few(batches):
+    """Rows (key, ent, comp) sorted by key: the pairs of different components within each key."""
+    rest = np.zeros((3, 0), dtype=np.int64)
+    for batch in batches:
+        key, ent, comp = now = np.concatenate([rest, [c.to_numpy() for c in batch.columns]], axis=1)
+        for step in range(1, FEW):
+            # pairs within the rest were listed with the batch before
+            at = np.arange(max(0, rest.shape[1] - step), len(key) - step)
+            at = at[(key[at] == key[at + step]) & (comp[at] != comp[at + step])]
+            if len(at):
+                a, b = ent[at], ent[at + step]
+                both = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+                yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+        rest = now[:, max(0, len(key) - FEW + 1) :]
+
+
 def _blocks(batches):
     """Rows (key, i, j, ent, comp, n, sketch, low) sorted by (key, i, j): near pairs of different components, group by group.
 
@@ -357,34 +369,41 @@ class NgramJoin:
         return sides.join(one, "a").join(two, "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(_near, "a long, b long")
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """(u, v): the pairs whose texts are linked. Texts travel packed."""
+        """(u, v): the pairs whose texts are linked. Only texts of asked ids travel, packed once they are known to be the class's own."""
         pairs = cut(pairs, "join-near")
         ents = pairs.select(F.col("a").alias("ent")).unionAll(pairs.select(F.col("b").alias("ent"))).distinct()
         # a class without any doc_id cannot be fetched by it; such rows are joined by a null-safe key
-        wanted = ents.join(self.classes.select("ent", "doc_id", "n"), "ent")
+        wanted = cut(ents.join(self.classes.select("ent", "doc_id"), "ent"), "join-wanted")
         kind = self.docs.schema["doc_id"].dataType.simpleString()
-        packed = self.docs.mapInArrow(_pack, f"doc_id {kind}, packed binary").withColumnRenamed("doc_id", "d")
-        texts = wanted.join(packed, F.col("doc_id").eqNullSafe(F.col("d"))).select("ent", "packed")
+        may, _ = Sieve.of(wanted.select("doc_id")).split(self.docs)
+        texts = wanted.join(may.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d"))).select("ent", "text")
         # an id that is shared by several rows fetches several texts: keep the class's own
         texts = cut(texts.mapInArrow(_own, "ent long, packed binary").dropDuplicates(["ent"]), "join-texts")
         joined = pairs.join(texts.withColumnsRenamed({"ent": "b", "packed": "pb"}), "b").join(texts.withColumnsRenamed({"ent": "a", "packed": "pa"}), "a")
         return cut(joined.select("a", "b", "pa", "pb").mapInArrow(_verify, "u long, v long"), "join-links")
 
     def unresolved(self, stars: DataFrame, roots: DataFrame) -> DataFrame:
-        """Near pairs of different components within keys of three classes or more."""
+        """Near pairs of different components within keys of three classes or more, but those of ``stars``."""
         many = stars.filter(F.col("key") != 0)
         members = many.select("key", F.col("b").alias("ent")).unionAll(many.select("key", F.col("a").alias("ent")).distinct())
         members = members.join(roots.withColumnsRenamed({"node": "ent", "root": "comp"}), "ent", "left").withColumn("comp", F.coalesce("comp", "ent"))
         members = cut(members, "join-members")
         open_ = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo != hi").select("key", "size")
         held = cut(members.join(open_, "key"), "join-open-members")
+        tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        few = held.filter(F.col("size") <= FEW).select("key", "ent", "comp").repartition("key").sortWithinPartitions("key").mapInArrow(_few, "a long, b long")
+        few = self.near(cut(few.distinct().join(tried, ["a", "b"], "left_anti"), "join-few"))
+        held = held.filter(F.col("size") > FEW)
         low = held.groupBy("ent").agg(F.slice(F.array_sort(F.collect_set("key")), 1, OWN_KEYS).alias("low"))
         held = held.join(self.classes.select("ent", "n", "sketch").join(low, "ent"), "ent")
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         mine = F.pmod(F.xxhash64("ent", "key"), blocks).cast("int")
-        dealt = held.select("key", mine.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"), "ent", "comp", "n", "sketch", "low")
+        # a pair is looked up among the keys below its own
+        below = F.filter("low", lambda k: k < F.col("key")).alias("low")
+        dealt = held.select("key", mine.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"), "ent", "comp", "n", "sketch", below)
         dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "ent", "comp", "n", "sketch", "low")
-        return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocks, "a long, b long").distinct()
+        many = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocks, "a long, b long")
+        return many.distinct().join(tried, ["a", "b"], "left_anti").unionAll(few).distinct()
 
     def roots(self) -> DataFrame:
         """(node, root): components of the linked classes."""
@@ -392,8 +411,6 @@ class NgramJoin:
         links = self.links(self.near(stars))
         first = cut(components(links), "join-roots")
         more = cut(self.unresolved(stars, first), "join-open")
-        tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = more.join(tried, ["a", "b"], "left_anti")
         if more.isEmpty():
             return first
         return cut(components(links.unionAll(self.links(more))), "join-roots")
@@ -409,16 +426,14 @@ class NgramJoin:
 
 
 def _own(batches):
-    """Of (ent, packed) rows those whose text is of class ent."""
-    unpack = zstandard.ZstdDecompressor().decompress
+    """Of (ent, text) rows those whose text is of class ent; the text packed."""
+    packer = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        ent = batch.column(0).to_numpy()
-        ok = np.zeros(len(ent), dtype=bool)
-        for lo in range(0, len(ent), 256):
-            part = batch.column(1).slice(lo, 256)
-            for i, s in enumerate(shingle_sets(pa.array([unpack(x.as_py()) for x in part], pa.binary()))):
-                ok[lo + i] = class_of(fingerprint(s)) == ent[lo + i]
-        yield batch.filter(pa.array(ok))
+        for part in slices(batch):
+            texts = texts_of(part.column(1))
+            ok = np.array([class_of(fingerprint(s)) for s in shingle_sets(texts)], dtype=np.int64) == part.column(0).to_numpy()
+            held = pa.array(ok)
+            yield pa.record_batch([part.column(0).filter(held), pa.array([packer.compress(x.as_py()) for x in texts.filter(held)], pa.binary())], ["ent", "packed"])
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -427,13 +442,17 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the row of the smallest doc_id stays; of rows that repeat that id with one text, one."""
-    own = NgramJoin(docs).components().filter(F.col("component_id").eqNullSafe(F.col("doc_id")))
-    kept = cut(own.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("rows")), "kept")
-    of = lambda ids: docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
-    again = kept.filter("rows > 1")
+    own = NgramJoin(docs).components()
+    mine = F.col("component_id").eqNullSafe(F.col("doc_id")).cast("int")
+    ids = cut(own.groupBy(F.col("doc_id").alias("kept_id")).agg(F.sum(mine).alias("rows")), "kept")
+    # ids of one kept row each, most of all, need no join
+    asked, kept = Sieve.of(ids.filter("rows != 1").select("kept_id")).split(docs)
+    of = lambda ids: asked.join(ids, asked["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+    kept = kept.unionByName(of(ids.filter("rows = 1")))
+    again = ids.filter("rows > 1")
     if again.isEmpty():
-        return of(kept)
-    return of(kept.filter("rows = 1")).unionByName(of(again).dropDuplicates(["doc_id", "text"]))
+        return kept
+    return kept.unionByName(of(again).dropDuplicates(["doc_id", "text"]))
 
 
 #: The same by comparing all shingle sets that share a shingle; components by following links.

@@ -266,6 +266,51 @@ def test_ngram_join_of_chains(spark):
     assert [got[i].component_id for i in range(len(texts))] == components_by_force([shingles(t) for t in texts])
 
 
+@pytest.mark.parametrize("few", [1, 3, 8])
+def test_ngram_join_compares_members_of_few_and_many(spark, monkeypatch, few):
+    """Groups of near copies and of texts just beyond the threshold, for all sizes of a key's group."""
+    from sparsewright.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    rng = random.Random(8)
+    some = []
+    for size in (2, 3, 4, 7, 9, 20):
+        base = words(rng, 90).split()
+        for i in range(size):
+            edited = list(base)
+            for k in rng.sample(range(len(base)), rng.randint(0, 4)):
+                edited[k] = f"edit{i}x{k}"
+            some.append(" ".join(edited))
+    rows = spark.createDataFrame([(i if i != 5 else None, t) for i, t in enumerate(some)], "doc_id long, text string").repartition(3)
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in some]
+    root = list(range(len(some)))
+    for i in range(len(some)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    want = Counter(min((k for k in range(len(some)) if root[k] == root[i] and k != 5), default=None) for i in range(len(some)))
+    assert Counter(r.component_id for r in ngram_join.NgramJoin(rows).components().collect()) == want
+    assert 6 < len(want) < len(some)
+
+
+@pytest.mark.parametrize("most", [64, 1 << 24])
+def test_sieve(spark, monkeypatch, most):
+    from sparsewright.llm import sieve
+
+    monkeypatch.setattr(sieve, "MOST_BITS", most)
+    rows = spark.createDataFrame([(None, "n")] + [(i * 7919 - 10**6, f"t{i}") for i in range(3000)] + [(0, "twice")], "doc_id long, __word string")
+    asked = [None, *(i * 7919 - 10**6 for i in range(0, 3000, 20))]
+    may, none = sieve.Sieve.of(spark.createDataFrame([(x,) for x in asked], "x long")).split(rows)
+    assert may.columns == none.columns == rows.columns
+    may, none = [tuple(r) for r in may.collect()], [tuple(r) for r in none.collect()]
+    assert Counter(may + none) == Counter(map(tuple, rows.collect()))
+    assert not {x for x, _ in none} & set(asked)
+    assert most == 64 or len(may) < 600
+    may, none = sieve.Sieve.of(spark.createDataFrame([], "x long")).split(rows)
+    assert (may.count(), none.count()) == (0, rows.count())
+
+
 @pytest.mark.parametrize("block_words", [1 << 20, 30])
 def test_decontaminate(spark, docs, texts, empty, block_words):
     from sparsewright.llm.decontaminate import cut_words, find_spans

@@ -50,6 +50,20 @@ def test_near_copies_leave_one(spark, documents):
     assert kept == sorted(set(classes.values()))
 
 
+def test_only_doubtful_rows_meet_the_join(spark, documents, monkeypatch):
+    """The texts that are fetched or joined are those of ids that are asked for, not the table's."""
+    from sparsewright.llm import ngram_join
+    from sparsewright.llm.sieve import Sieve
+
+    passed, split = [], Sieve.split
+    monkeypatch.setattr(Sieve, "split", lambda self, docs, *a: passed.append(split(self, docs, *a)) or passed[-1])
+    out = ngram_join.stage(spark, documents, SF)
+    lost = documents.count() - out.count()
+    assert lost and len(passed) >= 2
+    assert passed[-1][0].count() <= lost + documents.count() // 5
+    assert passed[-1][1].count() > documents.count() // 2
+
+
 def test_repeated_rows_leave_one(spark):
     from sparsewright.llm import ngram_join
 
