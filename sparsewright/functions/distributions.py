@@ -139,6 +139,39 @@ def logistic_loglik(y: np.ndarray, x: np.ndarray, rounds: int = 60) -> float:
     return float((y * eta - np.logaddexp(0, eta)).sum())
 
 
+def logistic_logliks(x: np.ndarray, w1: np.ndarray, w2: np.ndarray, size: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """``logistic_loglik`` of an intercept and one column for many models at once: model by model ``size`` rows of x, each for w1 ones and w2 zeros."""
+    beta, best = np.zeros((len(size), 2)), np.empty(len(size))
+    left, start = np.arange(len(size)), np.cumsum(size) - size
+
+    def rows(models):
+        n = size[models]
+        at = np.cumsum(n) - n
+        return np.repeat(start[models] - at, n) + np.arange(n.sum()), np.repeat(np.arange(len(models)), n), at
+
+    take, of, at = rows(left)
+    for _ in range(rounds):
+        z, a, b = x[take], w1[take], w2[take]
+        p = 1 / (1 + np.exp(-np.clip(beta[left, 0][of] + beta[left, 1][of] * z, -30, 30)))
+        gap, curve = a - (a + b) * p, (a + b) * p * (1 - p)
+        add = lambda t, at=at: np.add.reduceat(t, at)
+        g0, g1 = add(gap) - 1e-8 * beta[left, 0], add(gap * z) - 1e-8 * beta[left, 1]
+        h00, h01, h11 = add(curve) + 1e-8, add(curve * z), add(curve * z * z) + 1e-8
+        det = h00 * h11 - h01 * h01
+        step = np.column_stack([h11 * g0 - h01 * g1, h00 * g1 - h01 * g0]) / det[:, None]
+        beta[left] += np.clip(step, -5, 5)
+        more = np.abs(step).max(axis=1) >= 1e-9
+        if not more.any():
+            break
+        if not more.all():
+            left = left[more]
+            take, of, at = rows(left)
+    of = np.repeat(np.arange(len(size)), size)
+    eta = np.clip(beta[of, 0] + beta[of, 1] * x, -30, 30)
+    best[:] = np.add.reduceat(w1 * eta - (w1 + w2) * np.logaddexp(0, eta), start)
+    return best
+
+
 def negbinom_loglik_fixed(y: np.ndarray, x: np.ndarray, theta: float, rounds: int = 50) -> float:
     """Log-likelihood, but for terms of y alone, of a log-linear negative binomial fit with a given theta."""
     beta = np.linalg.lstsq(x, np.log(y + 0.1), rcond=None)[0]

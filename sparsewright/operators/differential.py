@@ -165,9 +165,76 @@ def bimod(m: Matrix, groups: DataFrame) -> DataFrame:
 def glm_test(m: Matrix, groups: DataFrame, family: str = "poisson", min_cells: int = 3, latent: list[str] | None = None) -> DataFrame:
     """(feature, p_val): group effect by a likelihood-ratio test of a Poisson, negbinom or logistic (group on value) model, latent cell columns in both.
 
-    One feature is a task's group; the cells' design is broadcast, at most 64 MB.
+    Without latent columns the counts' fits are the groups' means, so sums over stored entries do, and the logistic fit's
+    zeros are two weighted rows. With them one feature is a task's group; the cells' design is broadcast, at most 64 MB.
     """
-    latent = latent or []
+    if latent:
+        return _glm_test_latent(m, groups, family, min_cells, latent)
+    n1, n2 = checked_sizes(groups, 1)
+    stored = m.values.join(groups, "cell")
+    if family == "logistic":
+        return _logistic_test(stored, n1, n2, min_cells)
+    one = lambda g, x: F.sum(F.when(F.col("g") == g, x).otherwise(0.0))
+    v = F.col("value")
+    rows = stored.groupBy("feature").agg(*(one(g, v).alias(f"s{g}") for g in (1, 2)), *(one(g, (v > 0).cast("double")).alias(f"k{g}") for g in (1, 2)), F.sum(v * v).alias("q"), F.min(v).alias("low"), F.max(v).alias("high"), F.count(F.lit(1)).alias("k"))
+    constant = F.when(F.col("k") == n1 + n2, F.col("low") == F.col("high")).otherwise((F.col("low") == 0) & (F.col("high") == 0))
+    rows = rows.filter(~constant & (F.greatest("k1", "k2") >= min_cells)).withColumn("s", F.col("s1") + F.col("s2"))
+    if family == "negbinom":  # the size by moments about the groups' means
+        squares = F.col("s1") * F.col("s1") / n1 + F.col("s2") * F.col("s2") / n2
+        over = F.col("q") - squares - F.col("s")
+        rows = rows.withColumn("theta", F.when(over > 0, squares / F.when(over > 0, over)))
+    else:
+        rows = rows.withColumn("theta", F.lit(None).cast("double"))
+
+    def fitted(s: Column, n: int) -> Column:
+        """What depends on a mean in the log-likelihood at a group's own, for all its cells."""
+        some = F.when(s > 0, s)
+        poisson = some * F.log(some / n) - some
+        theta = F.col("theta")
+        negbinom = some * F.log(some / n / (theta + some / n)) - n * theta * F.log1p(some / n / theta)
+        return F.coalesce(F.when(theta.isNull(), poisson).otherwise(negbinom), F.lit(0.0))
+
+    gain = 2 * (fitted(F.col("s1"), n1) + fitted(F.col("s2"), n2) - fitted(F.col("s"), n1 + n2))
+    return rows.select("feature", _chi2_tail(F.greatest(F.lit(0.0), gain), F.lit(1.0)).alias("p_val"))
+
+
+def _logistic_test(stored: DataFrame, n1: int, n2: int, min_cells: int) -> DataFrame:
+    """(feature, p_val) of (feature, value, g): the group on the value; equal values of a feature are one weighted row."""
+    one = lambda g: F.sum(F.when(F.col("g") == g, 1.0).otherwise(0.0))
+    counts = stored.groupBy("feature", "value").agg(one(1).alias("w1"), one(2).alias("w2"))
+    # in order, so that sums do not depend on the run
+    lists = counts.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("value", "w1", "w2"))).alias("p")).select("feature", F.col("p.value").alias("v"), F.col("p.w1").alias("w1"), F.col("p.w2").alias("w2"))
+    null = n1 * math.log(n1 / (n1 + n2)) + n2 * math.log(n2 / (n1 + n2))
+
+    def run(frames):
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            size = pdf["v"].map(len).to_numpy()
+            at = np.cumsum(size) - size
+            v, w1, w2 = (np.concatenate(pdf[c].to_list()) for c in ("v", "w1", "w2"))
+            total = lambda x, at=at: np.add.reduceat(x, at)
+            k1, k2 = total(w1), total(w2)
+            some = np.maximum(total(w1 * (v > 0)), total(w2 * (v > 0))) >= min_cells
+            # the cells without an entry: a row of each feature
+            order = np.argsort(np.concatenate([np.repeat(np.arange(len(size)), size), np.arange(len(size))]), kind="stable")
+            v, w1, w2 = (np.concatenate(x)[order] for x in ((v, np.zeros(len(size))), (w1, n1 - k1), (w2, n2 - k2)))
+            at, size = at + np.arange(len(size)), size + 1
+            n, of = n1 + n2, np.repeat(np.arange(len(size)), size)
+            mean = np.add.reduceat((w1 + w2) * v, at) / n
+            varies = np.maximum.reduceat(np.where(w1 + w2 > 0, v, -np.inf), at) > np.minimum.reduceat(np.where(w1 + w2 > 0, v, np.inf), at)
+            some &= varies
+            sd = np.sqrt(np.add.reduceat((w1 + w2) * (v - mean[of]) ** 2, at) / n)
+            x = (v - mean[of]) / np.where(varies, sd, 1.0)[of]
+            best = dist.logistic_logliks(x, w1, w2, size)
+            p = [dist.chi2_sf(max(0.0, 2 * (a - null)), 1) for a in best[some]]
+            yield pd.DataFrame({"feature": pdf["feature"].to_numpy()[some], "p_val": p}).astype({"p_val": float})
+
+    kind = stored.schema["feature"].dataType.simpleString()
+    return lists.mapInPandas(run, f"feature {kind}, p_val double")
+
+
+def _glm_test_latent(m: Matrix, groups: DataFrame, family: str, min_cells: int, latent: list[str]) -> DataFrame:
     n1, n2 = checked_sizes(groups, 1)
     if (n1 + n2) * (len(latent) + 2) * 8 > 64 << 20:
         raise ValueError("the design matrix passes 64 MB; use a rank or t test")
