@@ -36,3 +36,76 @@ def test_glm_test_without_latent_columns_needs_no_design_matrix(spark, family):
     # so many cells that their design would pass 64 MB
     many = counts(spark, x, spark.range(4_300_000).withColumnRenamed("id", "cell"))
     assert glm_test(many, many.cells.withColumn("g", F.when(F.col("cell") < 25, 1).otherwise(2)), family).count() == 29
+
+
+def shuffled_rows(df):
+    """The least number of rows that an exchange of the executed plan must take for pairs: exchanges above the step that makes them."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan
+    return plan[: plan.index("MapInArrow")].count("Exchange")
+
+
+def test_pairs_pass_no_shuffle_and_zeros_are_told_apart_by_block(spark, monkeypatch):
+    from sparsewright import matrix
+    from sparsewright.operators import residuals, scaling
+
+    rng = np.random.default_rng(9)
+    x = rng.poisson(0.7, (9, 50)).astype(float)
+    x[4] = 0
+    m = counts(spark, x, spark.range(50).select(F.col("id").alias("cell"), (F.col("id") * 3 % 11).cast("double").alias("c"), (F.col("id") % 2).alias("grp")))
+    given = m.features.filter("feature != 4").select("feature", F.lit(-0.5).alias("intercept"), F.lit(0.2).alias("slope"), F.lit(3.0).alias("theta"))
+    made = lambda: {"scale": scaling.scale_data(m), "split": scaling.scale_data_by(m, "grp"), "line": scaling.regress_linear(m, "c"), "pearson": residuals.pearson(m, given), "corrected": residuals.corrected_counts(m, given)}
+    got = {k: df.toPandas().sort_values(["feature", "cell"]).reset_index(drop=True) for k, df in made().items()}
+    assert all(shuffled_rows(df) == 0 for df in made().values())
+    assert [len(got[k]) for k in ("scale", "split", "line", "pearson")] == [450, 450, 450, 400]
+    monkeypatch.setattr(matrix, "BLOCK", 7)  # many blocks of cells
+    for k, df in made().items():
+        again = df.toPandas().sort_values(["feature", "cell"]).reset_index(drop=True)
+        assert (again[["feature", "cell"]] == got[k][["feature", "cell"]]).all(axis=None) and np.allclose(again["value"], got[k]["value"])
+    given_residuals = residuals.corrected_counts(m, given, residuals.pearson(m, given)).toPandas().sort_values(["feature", "cell"]).reset_index(drop=True)
+    assert given_residuals.equals(got["corrected"])
+    want = residuals.residual_variance(residuals.pearson(m, given), 4).toPandas()
+    best = residuals.variable_features(m, given, 4).toPandas()
+    assert best["feature"].tolist() == want["feature"].tolist() and np.allclose(best["residual_variance"], want["residual_variance"])
+
+
+def test_fits_of_many_features_at_once_are_the_single_fits():
+    from sparsewright.functions.distributions import fit_glm, fit_glms
+
+    rng = np.random.default_rng(10)
+    z = np.column_stack([np.ones(200), rng.normal(3, 0.4, 200)])
+    y = rng.negative_binomial(2, 2 / (2 + np.exp(z @ [-2, 0.8])), (12, 200)).astype(float)
+    y[3], y[4, :198] = 0, 0
+    for family in ("poisson", "negbinom"):
+        mu, theta, beta = fit_glms(y, z, family)
+        for i in range(12):
+            one, size = fit_glm(y[i], z, family)
+            assert np.allclose(mu[i], one, rtol=1e-6, atol=1e-9) and min(theta[i], 1e6) == pytest.approx(min(size, 1e6), rel=1e-5)
+            assert np.allclose(beta[i], np.linalg.lstsq(z, np.log(np.maximum(one, 1e-12)), rcond=None)[0], atol=1e-5)
+
+
+def test_rounding_and_hashes_in_numpy_are_those_of_spark(spark):
+    from sparsewright.functions.hashes import hash_of
+    from sparsewright.plans.rounding import half_up, rounded
+
+    x = np.concatenate([np.random.default_rng(3).normal(0, 9, 500), [0.0000005, -0.0000005, 1.0000005, 0.1234565, 2.5e-7, -0.0, 123456.1234565, 7.0]])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    for digits in (4, 6):
+        assert [r.x for r in rounded(df, digits).collect()] == half_up(x, digits).tolist()
+    ids = spark.range(-5, 400).select(F.col("id").alias("a"), (F.col("id") * 7 - 90).cast("int").alias("b"), F.lit("k").alias("s"))
+    rows = ids.select("a", "b", F.xxhash64("s").alias("h"), F.xxhash64("s", "a", "b", F.lit(3)).alias("all")).toPandas()
+    h = hash_of(rows["b"].to_numpy(), hash_of(rows["a"].to_numpy(), rows["h"].to_numpy(), "bigint"), "int")
+    assert hash_of(np.int64(3), h, "int").tolist() == rows["all"].tolist()
+
+
+def test_shuffled_rows_are_the_permutation_of_the_windows(spark):
+    from sparsewright.operators.verbs import shuffle_rows
+
+    x = np.random.default_rng(12).poisson(0.5, (6, 40)).astype(float)
+    m = counts(spark, x)
+    got = {(r.feature, r.cell): r.value for r in shuffle_rows(m).collect()}
+    hashes = {(r.feature, r.cell): r.h for r in m.features.crossJoin(m.cells).select("feature", "cell", F.xxhash64("feature", "cell", F.lit(1)).alias("h")).collect()}
+    for i in range(6):
+        order = sorted(range(40), key=lambda j: hashes[i, j])
+        assert [got[i, order[k]] for k in range(40)] == x[i].tolist()
+    assert shuffled_rows(shuffle_rows(m)) == 0
