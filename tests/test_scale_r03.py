@@ -109,3 +109,22 @@ def test_shuffled_rows_are_the_permutation_of_the_windows(spark):
         order = sorted(range(40), key=lambda j: hashes[i, j])
         assert [got[i, order[k]] for k in range(40)] == x[i].tolist()
     assert shuffled_rows(shuffle_rows(m)) == 0
+
+
+@pytest.mark.parametrize("ids", ["long", "string"])
+def test_knn_sends_no_vector_more_than_once(spark, monkeypatch, ids):
+    from sparsewright.operators import neighbors
+
+    monkeypatch.setattr(neighbors, "BLOCK", 16)  # many blocks
+    rng = np.random.default_rng(13)
+    x, q = rng.integers(0, 3, (90, 3)).astype(float), rng.integers(0, 3, (40, 3)).astype(float)  # many ties
+    frame = lambda a, first: spark.createDataFrame([(first + i, [float(e) for e in row]) for i, row in enumerate(a)], "cell long, vector array<double>").withColumn("cell", F.col("cell").cast(ids)).repartition(7)
+    name = lambda i: str(i) if ids == "string" else i
+    for asks, first, found in ((x, 100, neighbors.knn(v := frame(x, 100), k=6)), (q, 500, neighbors.knn(v, frame(q, 500), 6))):
+        d = np.round(np.sqrt(((asks[:, None] - x[None]) ** 2).sum(axis=2)), 9)
+        want = {(name(first + i), r + 1): name(100 + j) for i in range(len(asks)) for r, j in enumerate(sorted(range(90), key=lambda j, i=i: (d[i, j], name(100 + j)))[:6])}
+        assert {(r.query, r["rank"]): r.neighbor for r in found.collect()} == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CoGroup" not in plan and "Exchange" not in plan  # written: readers do not search again
+    few = neighbors.knn(frame(x[:4], 0), frame(q, 500), 6)
+    assert few.count() == 160 and neighbors.knn(v.filter("false"), v, 3).count() == 0
