@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparsewright.functions.hashes import INT, LONG, hash_of
 from sparsewright.matrix import Matrix
 from sparsewright.operators.statistics import row_moments
+from sparsewright.plans.scratch import cut
 
 
 def group_label(columns: list[str]) -> Column:
@@ -62,13 +66,46 @@ def module_scores(m: Matrix, sets: DataFrame, controls: int = 100, bins: int = 2
     a set's controls are the union of its members' draws.
     """
     binned = mean_bins(m, bins)
-    members = sets.join(binned.select("feature", "bin"), "feature")
+    binned = cut(binned.select("feature", "bin"), "bins")
+    members = sets.join(binned, "feature")
+    kind = m.features.schema["feature"].dataType.simpleString()
+    if kind in LONG + INT:
+        return scores_of(m, sets, _drawn(members, binned, controls, seed, kind))
     pool = binned.select(F.col("feature").alias("control"), "bin")
     draw = F.row_number().over(Window.partitionBy("set_name", "feature").orderBy(F.xxhash64("control", "feature", F.lit(seed)), "control"))
     drawn = members.join(pool, "bin").withColumn("k", draw).filter(F.col("k") <= controls).select("set_name", F.col("control").alias("feature")).distinct()
     return scores_of(m, sets, drawn)
 
 
+#: Tasks that share a bin's members; each gets the whole bin.
+_SHARES = 16
+
+
+def _drawn(members: DataFrame, binned: DataFrame, controls: int, seed: int, kind: str) -> DataFrame:
+    """(set_name, feature): the draws of all members, without a row for each pair of a member and a feature of its bin."""
+    pool = binned.select(F.col("feature").alias("control"), F.col("bin").alias("of"), F.xxhash64("feature").alias("hash")).withColumn("share_of", F.explode(F.sequence(F.lit(0), F.lit(_SHARES - 1))))
+    dealt = members.select("set_name", "feature", "bin", F.pmod(F.xxhash64("feature"), F.lit(_SHARES)).cast("int").alias("share"))
+
+    def draw(some: pd.DataFrame, pool: pd.DataFrame) -> pd.DataFrame:
+        pool = pool.sort_values("control")
+        ids, hashes, out = pool["control"].to_numpy(), pool["hash"].to_numpy(), []
+        for name, one in some.groupby("set_name", sort=False) if len(pool) else ():
+            taken = np.zeros(len(ids), dtype=bool)
+            for feature in one["feature"].to_numpy():
+                h = hash_of(np.int64(seed), hash_of(feature, hashes, kind), "int")
+                if len(h) > controls:
+                    near = np.flatnonzero(h <= np.partition(h, controls - 1)[controls - 1])
+                    taken[near[np.argsort(h[near], kind="stable")[:controls]]] = True
+                else:
+                    taken[:] = True
+            out.append(pd.DataFrame({"set_name": name, "feature": ids[taken]}))
+        return pd.concat(out) if out else some[["set_name", "feature"]]
+
+    name = members.schema["set_name"].dataType.simpleString()
+    found = dealt.groupBy("bin", "share").cogroup(pool.groupBy("of", "share_of")).applyInPandas(draw, f"set_name {name}, feature {kind}")
+    return found.distinct()
+
+
 def scores_of(m: Matrix, sets: DataFrame, controls: DataFrame) -> DataFrame:
     """Scores for given (set_name, feature) controls."""
     parts = sets.select("set_name", "feature").distinct().withColumn("sign", F.lit(1)).unionByName(controls.select("set_name", "feature").distinct().withColumn("sign", F.lit(-1)))

@@ -128,3 +128,17 @@ def test_knn_sends_no_vector_more_than_once(spark, monkeypatch, ids):
         assert "CoGroup" not in plan and "Exchange" not in plan  # written: readers do not search again
     few = neighbors.knn(frame(x[:4], 0), frame(q, 500), 6)
     assert few.count() == 160 and neighbors.knn(v.filter("false"), v, 3).count() == 0
+
+
+def test_module_scores_make_no_row_for_each_member_and_feature_of_a_bin(spark, monkeypatch):
+    from sparsewright.operators import aggregate
+
+    x = np.random.default_rng(14).poisson(1.0, (60, 20)).astype(float)
+    m = counts(spark, x)
+    sets = m.features.filter("feature % 3 = 0").select(F.when(F.col("feature") % 2 == 0, "a").otherwise("b").alias("set_name"), "feature")
+    score = lambda: {(r.cell, r.set_name): r.score for r in aggregate.module_scores(m, sets, controls=4, bins=3).collect()}
+    got = score()
+    assert "CoGroup" in (plan := aggregate.module_scores(m, sets, controls=4, bins=3)._jdf.queryExecution().executedPlan().toString()) and "row_number" not in plan
+    monkeypatch.setattr(aggregate, "INT", ())  # by windows over pairs, as for other types
+    want = score()
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
