@@ -142,3 +142,43 @@ def test_module_scores_make_no_row_for_each_member_and_feature_of_a_bin(spark, m
     monkeypatch.setattr(aggregate, "INT", ())  # by windows over pairs, as for other types
     want = score()
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+
+
+def test_leading_directions_beyond_the_side_are_those_of_the_matrix(spark, monkeypatch):
+    from sparsewright.operators import reduction
+
+    rng = np.random.default_rng(15)
+    x = rng.poisson(rng.gamma(1, 2, (70, 1)) * rng.gamma(2, 0.5, (1, 45))).astype(float)
+    m = counts(spark, x)
+    a = np.where(rng.random((40, 40)) < 0.2, rng.random((40, 40)), 0)
+    edges = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))] + [(i, i, 1.0) for i in range(40)], "i long, j long, w double").groupBy("i", "j").agg(F.max("w").alias("w"))
+    made = lambda: [{r.cell: r.vector for r in df.collect()} for df in (reduction.pca_sparse(m, 3)[0], reduction.laplacian(edges, 3))]
+    want = made()
+    monkeypatch.setattr(reduction, "MAX_SIDE", 20)
+    for one, two in zip(made(), want, strict=True):
+        assert one.keys() == two.keys() and all(np.allclose(one[c], two[c], atol=1e-4) for c in two)
+
+
+def test_pca_sparse_reads_all_features(spark, monkeypatch):
+    import __spark_entry__
+    from sparsewright.operators import reduction
+
+    seen = []
+    monkeypatch.setattr(reduction, "pca_sparse", lambda m, k: (seen.append(m.features.count()), [spark.createDataFrame([(1, [1.0])], "cell int, vector array<double>")])[1])
+    __spark_entry__.queries()["pca_sparse"](spark, "/root/testdata/sf0.001")
+    assert seen == [spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()]
+
+
+def test_affinities_hold_no_array_of_pairs_and_dimensions():
+    import tracemalloc
+
+    from sparsewright.operators.layout import affinities
+
+    x = np.random.default_rng(16).normal(size=(600, 64))
+    tracemalloc.start()
+    p = affinities(x, 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * 600 * 600 * 12  # a few matrices of pairs; all differences are 64
+    q = p * 2 * 600
+    assert np.allclose(p, p.T) and q.sum() == pytest.approx(2 * 600, rel=1e-6)
